@@ -4,10 +4,19 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, packing
+    from . import bpe, lattice, minhash, packing, quality
 
-    return {f.__name__: f for f in (bpe.op1_bpe_roundtrip, packing.op8_harmonic_packing)}
+    fs = (
+        bpe.op1_bpe_roundtrip,
+        minhash.op6_minhash_join,
+        packing.op8_harmonic_packing,
+        quality.op9_isolation_rules,
+        lattice.op10_lattice_likelihood,
+    )
+    return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import minhash
+
+    return {"op6_minhash_join": minhash.ORACLE}
