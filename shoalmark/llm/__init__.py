@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, lattice, minhash, packing, quality
+    from . import bpe, lattice, linkgraph, minhash, packing, quality, vptree
 
     fs = (
         bpe.op1_bpe_roundtrip,
+        vptree.op4_vp_tree,
         minhash.op6_minhash_join,
+        linkgraph.op7_link_trust,
         packing.op8_harmonic_packing,
         quality.op9_isolation_rules,
         lattice.op10_lattice_likelihood,
@@ -17,6 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import minhash
+    from . import minhash, vptree
 
-    return {"op6_minhash_join": minhash.ORACLE}
+    return {"op4_vp_tree": vptree.ORACLE, "op6_minhash_join": minhash.ORACLE}
