@@ -4,11 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, lattice, linkgraph, minhash, packing, quality, vptree
+    from . import bpe, lattice, line_dedup, linkgraph, minhash, packing, quality, secret_scan, vptree
 
     fs = (
         bpe.op1_bpe_roundtrip,
+        secret_scan.op3_markov_secrets,
         vptree.op4_vp_tree,
+        line_dedup.op5_fuzzy_lines,
         minhash.op6_minhash_join,
         linkgraph.op7_link_trust,
         packing.op8_harmonic_packing,
