@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, lattice, line_dedup, linkgraph, minhash, packing, quality, secret_scan, vptree
+    from . import bpe, lattice, line_dedup, linkgraph, minhash, packing, pii, quality, secret_scan, vptree
 
     fs = (
         bpe.op1_bpe_roundtrip,
+        pii.op2_context_pii,
         secret_scan.op3_markov_secrets,
         vptree.op4_vp_tree,
         line_dedup.op5_fuzzy_lines,
