@@ -206,6 +206,10 @@ def redact(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(run, docs.schema)
 
 
+def of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def op2_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract(table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, KINDS))
@@ -213,5 +217,5 @@ def op2_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(arr):
         return F.concat_ws(",", F.transform(F.array_sort(arr), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])))
 
-    number = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    number = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return got.select("doc_id", *number, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "more")).alias("spans"))

@@ -118,10 +118,14 @@ def scan(docs: DataFrame, bits: float = BITS) -> DataFrame:
     return df.select("doc_id", "base", F.coalesce(good, F.slice("base", 1, 0)).alias("more"))
 
 
+def of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(table(spark, sf_dir, "documents"))
     names = [k for k, _, _ in KINDS] + ["random"]
-    number = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{names[i]}") for i in range(3)]
+    number = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{names[i]}") for i in range(3)]
     return got.select(
         "doc_id",
         *number,
