@@ -154,8 +154,7 @@ def preference(cand: DataFrame, products: DataFrame, prof: DataFrame, users: Dat
     c = cand.join(products.select("product_id", "category", "color", X.tags(F.col("style_tags")).alias("tags")), "product_id", "left")
     p = lambda kind: prof.where(F.col("kind") == kind).select("user_id", F.col("key").alias(f"k_{kind}"), F.col("value").alias(f"v_{kind}"))
     for kind in ("category", "color"):
-        x = p(kind)
-        c = c.join(x, (c.user_id == x.user_id) & (c[kind] == x[f"k_{kind}"]), "left").drop(x.user_id).drop(f"k_{kind}")
+        c = c.join(p(kind).withColumnRenamed(f"k_{kind}", kind), ["user_id", kind], "left")
     style = p("style")
     t = c.select("query_id", "user_id", "product_id", F.explode("tags").alias("k_style")).join(style, ["user_id", "k_style"]).groupBy("query_id", "product_id").agg(F.sum("v_style").alias("v_style"))
     c = c.join(t, ["query_id", "product_id"], "left")

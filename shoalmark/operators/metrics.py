@@ -35,7 +35,7 @@ def shelf_metrics(ranked: DataFrame, products: DataFrame, inventory: DataFrame,
     )
 
 
-def citation_coverage(recs: DataFrame, evidence: str = "evidence") -> Column:
+def citation_coverage(evidence: str = "evidence") -> Column:
     return F.avg((F.size(evidence) > 0).cast("double"))
 
 
