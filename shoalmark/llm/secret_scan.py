@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ KINDS = [
     ("hex", r"[0-9a-f]{24,}", None),
 ]
 TOKEN, ORDINARY = r"[A-Za-z0-9+/_=-]{20,}", r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{11,}"
-BITS, SAMPLES, CODES = 10.0, 2048, 128
+BITS, SAMPLES, CODES, BACKOFF = 10.0, 2048, 128, 20.0
 
 
 def spans(text: Column, found: Column, pattern: str, kind: int, test=None) -> Column:
@@ -82,15 +83,18 @@ def model(docs: DataFrame, samples: int = SAMPLES) -> list[float]:
     ordinary = docs.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), 0)).alias("s"))
     counts = transitions(random).withColumn("kind", F.lit(1)).union(transitions(ordinary).withColumn("kind", F.lit(0)))
     n = {(kind, x, y): c for x, y, c, kind in counts.collect() if x < CODES and y < CODES}  # at most 2 * CODES^2 rows
-    total: dict = {}
-    for (kind, x, _), c in n.items():
-        total[kind, x] = total.get((kind, x), 0) + c
     letters = [k for k in range(CODES) if re.fullmatch("[A-Za-z0-9+/_=-]", chr(k))]
+    after, alone = Counter(), Counter()
+    for (kind, x, y), c in n.items():
+        after[kind, x] += c
+        alone[kind, y] += c
+    size = [sum(c for (kind, _), c in alone.items() if kind == k) for k in (0, 1)]
     llr = [0.0] * (CODES * CODES)
-    for x in range(CODES):
-        for y in letters:
-            # every transition of the alphabet gets a little mass, so unseen ones count too
-            p = [(n.get((k, x, y), 0) + 0.5) / (total.get((k, x), 0) + 0.5 * len(letters)) for k in (0, 1)]
+    for y in letters:
+        one = [(alone[k, y] + 0.5) / (size[k] + 0.5 * len(letters)) for k in (0, 1)]
+        for x in range(CODES):
+            # transitions out of rare characters lean on the frequency of the next character alone
+            p = [(n.get((k, x, y), 0) + BACKOFF * one[k]) / (after[k, x] + BACKOFF) for k in (0, 1)]
             llr[x * CODES + y] = round(math.log2(p[1] / p[0]), 9)
     return llr
 
