@@ -177,10 +177,10 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind, as <EMAIL>; overlapping spans become one."""
-    spans = extract(docs).select(F.col("doc_id").alias("of"), "rid", F.array_sort(F.concat("base", "more")).alias("spans"))
-    spans = spans.where(F.size("spans") > 0).dropDuplicates(["of", "rid"])
-    df = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    df = df.join(spans, (df.rid == spans.rid) & df.doc_id.eqNullSafe(spans.of), "left").select(*docs.columns, "spans")
+    spans = extract(docs).select(F.col("doc_id").alias("__of"), F.col("rid").alias("__r"), F.array_sort(F.concat("base", "more")).alias("__spans"))
+    spans = spans.where(F.size("__spans") > 0).dropDuplicates(["__of", "__r"])
+    df = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    df = df.join(spans, (F.col("__rid") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left").select(*docs.columns, "__spans")
     names = docs.columns
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
