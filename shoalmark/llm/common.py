@@ -60,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.union(e.select("m", "v"))  # (node, neighbour)
         low = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
         large = both.where("m > v").join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        large = large.where("v <> m").distinct()
+        large = large.where("v <> m")  # repeated links do no harm until the end of the round
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m")
         e = keep(small.union(low.select("v", F.col("low").alias("m"))).distinct(), f"cc{i + 1}")

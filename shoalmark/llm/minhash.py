@@ -11,13 +11,13 @@ prefix-and-skip merge of posting lists:
   on the two signatures;
 * pairs at or above ``match`` are confirmed exactly on full sets.
 
-Large groups of near copies are joined without all pairs: a list links its members to a representative
-first; what these links join is one component, and only members of different components of a list are
-then compared with each other (``rounds`` of new representatives, then every remaining cross pair), so
-no link between different components is lost.
+Large groups of near copies are joined without all pairs: a list compares its members with ``reps``
+representatives first, the most central ones among them; what these links join is one component, and only members of different components
+of a list are then compared with each other (``rounds`` of new representatives, then every remaining cross
+pair), so no link between different components is lost.
 
-The match threshold lies more than four standard deviations below the mean number of matches at the
-similarity threshold, so a pair at the threshold is missed with a probability under 1e-4.
+The match threshold lies 3.5 standard deviations below the mean number of matches at the similarity
+threshold, so a pair right at it is missed with a probability of about 5e-4, a nearer one more rarely.
 
 Defined results: null or word-less texts have the empty set, stand alone (n_shingles 0) and link with
 nothing; texts with fewer words than ``width`` have their whole word sequence as the one shingle;
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import components, keep, table
 
-COORDS, MATCH = 32, 16
+COORDS, MATCH, REPS = 64, 40, 8
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTS = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -93,15 +93,16 @@ def signatures(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
 
 
 def _lists(classes: DataFrame, coords: int, match: int) -> DataFrame:
-    """The prefix postings: (key, rep, sig) with the lists of one member gone."""
+    """The prefix postings (key, rep, weight) without lists of one; the weight is how often others hold its values."""
     posted = classes.select("rep", F.posexplode("sig").alias("k", "v")).select(
         "rep", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key")
     )
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     per = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     per = per.where(F.size("keys") >= match)
-    cut = per.select("rep", F.explode(F.expr(f"slice(keys, 1, size(keys) - {match - 1})")).alias("x"))
-    return keep(cut.select("rep", "x.key"), "prefix")
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    cut = per.select("rep", weight.alias("weight"), F.explode(F.expr(f"slice(keys, 1, size(keys) - {match - 1})")).alias("x"))
+    return keep(cut.select("rep", "weight", "x.key"), "prefix")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -140,7 +141,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def near_links(
-    docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH, rounds: int = 2
+    docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH, rounds: int = 1, reps: int = REPS
 ) -> DataFrame:
     """Confirmed links (a, b) between classes that hold every component of the similarity graph together."""
     coords = COORDS
@@ -158,20 +159,24 @@ def near_links(
     links = None
     for i in range(rounds + 1):
         if links is None:
-            state = lists.select("key", "rep", F.col("rep").alias("root"))
+            state = lists.select("key", "rep", "weight", F.col("rep").alias("root"))
         else:
             roots = components(links)
             state = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "key", "rep", F.coalesce("root", "rep").alias("root")
+                "key", "rep", "weight", F.coalesce("root", "rep").alias("root")
             )
         span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         state = keep(state.join(span.select("key"), "key"), "state")
         if state.isEmpty():
             break
         if i < rounds:
-            order = F.xxhash64("rep", F.lit(i)) if i else F.col("rep")
-            star = state.groupBy("key").agg(F.min_by(F.struct("rep", "root"), F.struct(order, "rep")).alias("c"))
-            pairs = state.join(star, "key").where("root <> c.root").select(F.col("rep").alias("a"), F.col("c.rep").alias("b"))
+            # half are central (the original of many copies shares values with all of them), half drawn by hash
+            part = F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(reps // 2))
+            drawn = [F.max(F.struct(F.when(part == k, F.col("weight")).otherwise(-1).alias("draw"), "rep", "root")) for k in range(reps // 2)]
+            drawn += [F.max(F.struct(F.xxhash64("rep", F.lit(i * reps + k)).alias("draw"), "rep", "root")) for k in range(reps // 2)]
+            star = state.groupBy("key").agg(F.array(*drawn).alias("c")).select("key", F.explode("c").alias("c")).select("key", "c.rep", "c.root").distinct()
+            star = star.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
+            pairs = state.join(star, "key").where("root <> root_b").select(F.col("rep").alias("a"), "b")
         else:
             x, y = state, state.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
             pairs = x.join(y, "key").where("root < root_b").select(F.col("rep").alias("a"), "b")
