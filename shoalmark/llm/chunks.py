@@ -42,43 +42,52 @@ class ChunkCache:
             yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut, want = [], set()
         new, old = self.new, self.old
+        get, cut, want = new.get, [], set()
         for t in texts:
             pieces = t.split(" ")
-            fresh = {p for p in pieces[1:] if p not in new}
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in fresh) or not pieces[0] or pieces[0][-1].isspace():
+            got = list(map(get, pieces))
+            got[0] = b""  # the first piece has no space before it
+            gaps, at = [], 0
+            try:
+                while True:
+                    at = got.index(None, at)
+                    gaps.append(at)
+                    at += 1
+            except ValueError:
+                pass
+            fresh = [pieces[k] for k in gaps]
+            head = pieces[0]
+            if not head or head[-1].isspace() or not all(fresh) or any(p[0].isspace() or p[-1].isspace() for p in fresh):
                 pieces = SAFE.split(t)
-                fresh = {p for p in pieces[1:] if p not in new}
-            want |= fresh
-            cut.append(pieces)
-        miss, stems = set(), {}
+                got = list(map(get, pieces))
+                gaps = [k for k, v in enumerate(got) if v is None and k]
+                fresh = [pieces[k] for k in gaps]
+            want.update(fresh)
+            cut.append((got, gaps, fresh, pieces[0]))
+        miss, stems, local = set(), [], {}
         for p in want:
             if (v := old.get(p)) is not None:
                 new[p] = v
-            elif p[-1] in MARKS and p[:-1].isalpha():
-                stems[p] = q = p[:-1]
-                if q not in new:
-                    if (v := old.get(q)) is not None:
-                        new[q] = v
-                    else:
-                        miss.add(q)
+            elif p[-1] in MARKS and (q := p[:-1]).isalpha():
+                if (v := get(q)) is not None or (v := old.get(q)) is not None:
+                    new[p] = v + self.marks[p[-1]]
+                else:
+                    miss.add(q)
+                    stems.append((p, q))
             else:
                 miss.add(p)
-        local = dict(zip(miss, self.encode_many([f" {p}" for p in miss]))) if miss else {}
-        for p, q in stems.items():
-            local[p] = (new[q] if q in new else local[q]) + self.marks[p[-1]]
-        heads = self.encode_many([p[0] for p in cut])
-        for p, v in local.items():
-            if len(p) <= self.longest:
-                new[p] = v
-        for pieces, head in zip(cut, heads):
-            if len(pieces) == 1:
-                yield head
-                continue
-            try:
-                yield head + b"".join([new[p] for p in pieces[1:]])
-            except KeyError:
-                yield head + b"".join([new[p] if p in new else local[p] for p in pieces[1:]])
+        if miss:
+            miss = list(miss)
+            local = dict(zip(miss, self.encode_many([f" {p}" for p in miss])))
+            new.update(local if max(map(len, miss)) <= self.longest else {p: v for p, v in local.items() if len(p) <= self.longest})
+            for p, q in stems:
+                local[p] = local[q] + self.marks[p[-1]]
+        heads = self.encode_many([c[3] for c in cut])
+        for (got, gaps, fresh, _), head in zip(cut, heads):
+            for k, p in zip(gaps, fresh):
+                got[k] = local[p] if p in local else new[p]
+            got[0] = head
+            yield b"".join(got)
         if len(new) > self.limit:
             self.old, self.new = new, {}

@@ -17,6 +17,7 @@ partition comes in the same order, which holds for scans of files.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,13 @@ VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable sign of each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 @lru_cache(maxsize=2)
 def coder(path: str | None) -> ChunkCache:
     import os
@@ -45,8 +53,23 @@ def coder(path: str | None) -> ChunkCache:
     t = Tokenizer.from_file(path or P.path(VOCABULARY))
     t.encode_special_tokens = True
 
+    model = t.model
+    signs = byte_signs()
+
     def many(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        # a space and letters are one pre-token, so the model can be asked without the steps before it
+        out: list = [None] * len(texts)
+        rest = []
+        for k, x in enumerate(texts):
+            if x[:1] == " " and x[1:].isalpha():
+                word = "Ġ" + x[1:] if x.isascii() else x.encode().decode("latin-1").translate(signs)
+                out[k] = array("I", [token.id for token in model.tokenize(word)]).tobytes()
+            else:
+                rest.append(k)
+        got = t.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, got):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     return ChunkCache(many)
 
