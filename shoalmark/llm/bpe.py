@@ -50,7 +50,7 @@ class Bpe:
         self.pieces = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.bytes = {i: b for b, i in ranks.items()}
-        self.cache = ChunkCache(self._many)
+        self.cache = ChunkCache(self._many, 300_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -60,8 +60,7 @@ class Bpe:
         n = len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [-1] * n
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
+        for i, r in enumerate([get(piece[i : i + 2]) for i in range(n - 1)]):
             if r is not None:
                 pair[i] = r
                 if r in buckets:
@@ -118,7 +117,7 @@ class Bpe:
         out = []
         for t in texts:
             ids: list[int] = []
-            for p in pieces(t):
+            for p in (t,) if t[1:].isalpha() and t[0] == " " else pieces(t):
                 b = p.encode()
                 r = ranks.get(b)
                 if r is None:
