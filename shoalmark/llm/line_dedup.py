@@ -1,10 +1,8 @@
 """Fuzzy line dedup by MinHash (operator 5).
 
-Equal lines form one class by hash. A class's signature holds minima over its character shingles (8 bytes) that
-begin behind a character that is no letter or digit (and behind the rare 0 j q x z, for unbroken
-strings): an edit moves no other place where one begins, and a line has far fewer of them than
-characters. Bands of the signature bring candidate lines together; a pair is linked if the Jaccard
-similarity of the full sets of character shingles is at least ``percent``. Within a band's bucket all
+Equal lines form one class by hash. A class's signature holds minima over all its character shingles, the set
+that links are judged on. Bands of the signature bring candidate lines together; a pair is linked if the
+Jaccard similarity of the full sets of character shingles is at least ``percent``. Within a band's bucket all
 members meet a few representatives first, then only members whose components still differ meet each other,
 so large groups of near copies make no square of pairs and no link between components is lost. Of each
 component the first line stays (smallest doc_id, then position); all others go.
@@ -33,32 +31,28 @@ from .common import components, keep, table
 from .minhash import M1, SALTS, mix
 
 WIDTH, BANDS, ROWS, PERCENT, REPS = 5, 10, 3, 80, 4
-ANCHOR_AFTER = np.array([not chr(b).isalnum() or b > 127 or chr(b) in "0jqxzJQXZ" for b in range(256)])
-LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 SPACES = b" \t\n\v\f\r"
 
 
 def bands(lines: list[bytes]) -> np.ndarray:
-    """One row of BANDS keys for each line (none is empty)."""
-    buf = np.frombuffer(b"\n".join(lines) + b"\n" + bytes(16), np.uint8)
-    n = len(buf) - 16
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    first = np.zeros(n, bool)
-    first[start] = True
-    anchor = np.concatenate([[True], ANCHOR_AFTER[buf[: n - 1]]]) & ((buf[:n] & 0xC0) != 0x80) & (buf[:n] != 10) | first
-    at = np.flatnonzero(anchor)
-    row = np.searchsorted(start, at, "right") - 1
-    left = (start + size)[row] - at
-    words = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
-    w0 = words[at] & LOW[np.clip(left, 0, 8)]
-    v = (mix(mix(w0 * M1) * M1) >> np.uint64(32)).astype(np.uint32)
-    begin = np.searchsorted(at, start)
+    """One row of BANDS keys for each line (none is empty), from minima over all its character shingles."""
+    gap = b"\n" * WIDTH  # so that the one window of a short line ends before the next line
+    cp = np.frombuffer((gap.join(lines) + gap).decode().encode("utf-32-le"), np.uint32)
+    end = np.flatnonzero(cp == 10)[::WIDTH]
+    start = np.concatenate([[0], end[:-1] + WIDTH])
+    count = np.maximum(end - start - (WIDTH - 1), 1)
+    begin = np.cumsum(count) - count
+    at = np.repeat(start - begin, count) + np.arange(count.sum())
+    v = np.full(len(cp) - WIDTH + 1, np.uint64(WIDTH))
+    for k in range(WIDTH):
+        v = mix((v + cp[k : k + len(v)]) * M1)
+    v = (v[at] >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), np.uint64(b + 1))
         for k in range(b * ROWS, b * ROWS + ROWS):
-            key = mix((key ^ np.minimum.reduceat(v ^ np.uint32(SALTS[k] >> np.uint64(32)), begin).astype(np.uint64)) * M1)
+            own = v * np.uint32((SALTS[k] & np.uint64(0xFFFFFFFF)) | np.uint64(1)) + np.uint32(SALTS[k] >> np.uint64(32))
+            key = mix((key ^ np.minimum.reduceat(own, begin).astype(np.uint64)) * M1)
         out[:, b] = key
     return out.view(np.int64)
 

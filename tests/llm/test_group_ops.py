@@ -94,6 +94,30 @@ def test_lines(spark):
     assert line_dedup.dedup(d.where("false")).count() == 0
 
 
+def test_line_bands_see_all_shingles():
+    rng = random.Random(8)
+
+    def shingles(s):
+        return {s[i : i + 5] for i in range(len(s) - 4)} if len(s) >= 5 else {s}
+
+    for letters in ("abcdefghiklmnoprstuvwy", "abcdefghi klmnop rstuvwy", "世界日本語漢字àéîõü"):
+        lines = []
+        while len(lines) < 1600:
+            a = "".join(rng.choice(letters) for _ in range(rng.choice([40, 100, 200])))
+            b = list(a)
+            for _ in range(rng.randint(1, 4)):
+                b[rng.randrange(len(b))] = rng.choice(letters)
+            x, y = shingles(a), shingles("".join(b))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+                lines += [a, "".join(b)]
+        k = line_dedup.bands([x.encode() for x in lines])
+        assert (k[::2] == k[1::2]).any(1).mean() > 0.995
+    short = ["ab", "abc", "ab", "abcde", "b", "abcdef", "ab"]
+    k = line_dedup.bands([x.encode() for x in short])
+    assert (k[0] == k[2]).all() and (k[0] == k[6]).all() and not (k[0] == k[1]).any() and not (k[1] == k[3]).any()
+    assert (line_dedup.bands([b"ab"]) == k[0]).all() and (line_dedup.bands([b"abcdef"]) == k[5]).all()
+
+
 def test_urls(spark):
     urls = ["HTTP://News.Example.NET/en/1?x=/en/", "http://example.net", "http://sub.example.com/de/x#y", "http://Site.org/fr/", None, "no scheme", "a://", "ftp://x.org?/fr/", "http://notnet/", "http://net/q", "http://other.org/zz"]
     html = '<a href="http://good.site.org/fr/1">x</a>' * 3
