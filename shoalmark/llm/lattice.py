@@ -20,6 +20,7 @@ are scored each and counted each; a null doc_id counts as the empty text for the
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 VOCABULARY = "piece_bpe_32k.model"
-HOT, HOT_BYTES, WIDE = 400_000, 64, 40
+HOT, HOT_BYTES, WIDE, PIECE = 400_000, 64, 40, 4096
 LN10 = math.log(10)
 
 
@@ -66,10 +67,10 @@ class Lattice:
                     self.single.add(piece)
         self.prior = prior / prior.sum()
 
-    def edges(self, word: str) -> list[tuple[int, int, list[int]]]:
-        """(from, to, ids) of the lattice of a marked word; ids are several only where a character is spelled."""
+    def edges(self, word: str, begin: int = 0, stop: int | None = None) -> list[tuple[int, int, list[int]]]:
+        """(from, to, ids) of the lattice of a marked word, those from ``begin`` up to ``stop``; ids are several only where a character is spelled."""
         out, n, tree, single = [], len(word), self.tree, self.single
-        for i in range(n):
+        for i in range(begin, n if stop is None else min(n, stop)):
             node = tree
             for j in range(i, n):
                 node = node.get(word[j])
@@ -82,15 +83,33 @@ class Lattice:
                 out.append((i, i + 1, [self.byte[b] for b in word[i].encode()]))
         return out
 
-    def long(self, word: str, lp: np.ndarray) -> float:
-        """The log probability of one word of any length."""
+    def long(self, word: str, lp: np.ndarray, weight: float = 0.0, into: np.ndarray | None = None) -> float:
+        """The log probability of one word of any length; expected counts times ``weight`` are added to ``into``.
+
+        Edges are made anew for PIECE characters at a time, so memory holds two numbers a character and one piece.
+        """
         n = len(word)
-        alpha = [0.0] + [-math.inf] * n
-        for i, j, ids in self.edges(word):
-            a, b = alpha[j], alpha[i] + sum(lp[x] for x in ids)
-            m = max(a, b)
-            if m > -math.inf:
-                alpha[j] = m + math.log(math.exp(a - m) + math.exp(b - m))
+        alpha = array("d", [-math.inf]) * (n + 1)
+        alpha[0] = 0.0
+        for s in range(0, n, PIECE):
+            for i, j, ids in self.edges(word, s, s + PIECE):
+                a, b = alpha[j], alpha[i] + sum(lp[x] for x in ids)
+                m = max(a, b)
+                if m > -math.inf:
+                    alpha[j] = m + math.log(math.exp(a - m) + math.exp(b - m))
+        if into is None:
+            return alpha[n]
+        beta = array("d", [-math.inf]) * (n + 1)
+        beta[n] = 0.0
+        for s in range((n - 1) // PIECE * PIECE, -1, -PIECE):
+            for i, j, ids in reversed(self.edges(word, s, s + PIECE)):
+                a, b = beta[i], beta[j] + sum(lp[x] for x in ids)
+                m = max(a, b)
+                if m > -math.inf:
+                    beta[i] = m + math.log(math.exp(a - m) + math.exp(b - m))
+                    w = weight * math.exp(alpha[i] + b - alpha[n])
+                    for x in ids:
+                        into[x] += w
         return alpha[n]
 
     def batch(self, words: list[str], lp: np.ndarray, weights: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
@@ -100,11 +119,7 @@ class Lattice:
         short = [k for k, w in enumerate(marked) if len(w) <= WIDE]
         for k, w in enumerate(marked):
             if len(w) > WIDE:
-                out[k] = self.long(w, lp)
-                if into is not None:  # of a long word only the best-known part counts: its spelled-out characters
-                    for _, _, ids in ((i, j, x) for i, j, x in self.edges(w) if j == i + 1):
-                        for x in ids:
-                            into[x] += weights[k]
+                out[k] = self.long(w, lp, 0.0 if weights is None else weights[k], into)
         if not short:
             return out
         short.sort(key=lambda k: len(marked[k]))

@@ -173,6 +173,20 @@ def test_lattice_sums_all_segmentations():
     assert into.sum() > 0 and np.isfinite(lat.batch(["y" * 5000], lp)).all()
 
 
+def test_long_words_count_as_short_ones(monkeypatch):
+    lat = lattice.lattice(None)
+    lp = np.log(lat.prior)
+    words = ["internationalisation" * 5, "漢é\x01the" * 12, base64.b64encode(bytes(range(90))).decode().lower()]
+    got = np.zeros((2, lat.size))
+    one = lat.batch(words, lp, np.array([3.0, 1.0, 2.0]), got[0])
+    monkeypatch.setattr(lattice, "PIECE", 7)
+    again = np.zeros(lat.size)
+    lat.batch(words, lp, np.array([3.0, 1.0, 2.0]), again)
+    monkeypatch.setattr(lattice, "WIDE", 1000)
+    two = lat.batch(words, lp, np.array([3.0, 1.0, 2.0]), got[1])
+    assert np.allclose(one, two) and np.allclose(got[0], got[1]) and np.allclose(again, got[1])
+
+
 @pytest.mark.parametrize("hot", [400_000, 0])
 def test_scores(docs, none, hot):
     got = lattice.score(docs, hot=hot).collect()
