@@ -54,7 +54,9 @@ def links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts."""
     found = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\s<>]+)"), 1)).alias("to"))
     found = found.select(F.col("host").alias("src"), lower_ascii(F.col("to")).alias("dst"))
-    hosts = pages.select("host").distinct()
+    parts = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = pages.select("host").distinct().select(F.explode(above).alias("host")).distinct()  # and all their parents
     parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
     up = hosts.select(F.col("host").alias("src"), parent.alias("dst")).where("dst <> ''")
     tree = up.union(up.select("dst", "src"))

@@ -130,6 +130,15 @@ def test_urls(spark):
     assert linkgraph.judge(d.where("false")).count() == 0
 
 
+def test_parents_of_parents(spark):
+    urls = ["http://www.theres.example.com/de/1", "http://a.b.example.com/q", "http://example.org/fr/"]
+    d = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    edges = {(r.src, r.dst) for r in linkgraph.links(linkgraph.with_rule(linkgraph.split_url(d))).collect()}
+    assert {("theres.example.com", "example.com"), ("example.com", "b.example.com")} <= edges and len(edges) == 8
+    got = {r.page_id: r for r in linkgraph.judge(d).collect()}
+    assert got[0].verdict == "block" and got[1].rule is None and got[1].distrust > 0 and got[1].verdict == "block"
+
+
 @pytest.mark.parametrize("name", ["op4_vp_tree", "op6_minhash_join"])
 def test_oracle(spark, name):
     from shoalmark import llm
