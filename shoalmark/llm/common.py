@@ -12,22 +12,53 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark removes the shuffle files of a query as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder; a local one is made only if the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The scratch folder that driver and executors share.
+
+    A session that names none gets a folder of its own only in local mode, where one process is driver and
+    executor; anywhere else that is an error, as executors could not read each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shoalmark_scratch", None)
     if not root:
-        root = getattr(spark, "_shoalmark_scratch", None) or tempfile.mkdtemp(prefix="shoalmark-")
-        spark._shoalmark_scratch = root
-    return root.rstrip("/")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark._shoalmark_scratch = tempfile.mkdtemp(prefix="shoalmark-")
+    return f"{root.rstrip('/')}/shoalmark"
 
 
 def keep(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to scratch and read it back: cuts lineage, survives executor loss."""
+    """Write ``df`` to scratch and read it back: cuts lineage, survives executor loss.
+
+    Shuffle files of the plan behind it go with the write, so no later step may lean on them. The table
+    itself stays until ``drop`` or, for the last ones that a result is read from, the end of the session.
+    """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/shoalmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shoalmark_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``keep`` has written and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_shoalmark_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +76,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps of map-reduce union-find: each round is two
     aggregations with map-side combine and two equi-joins whose skew AQE can split, and the number of
     rounds grows with log^2 of the longest chain. Nodes without a link are not returned. Null ends and
-    self links are ignored.
+    self links are ignored. Only the last round's table stays in scratch.
     """
-    spark = edges.sparkSession
     e = (
         edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
         .where("a <> b")
@@ -63,7 +93,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("v <> m")  # repeated links do no harm until the end of the round
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m")
-        e = keep(small.union(low.select("v", F.col("low").alias("m"))).distinct(), f"cc{i + 1}")
+        was, e = e, keep(small.union(low.select("v", F.col("low").alias("m"))).distinct(), f"cc{i + 1}")
+        drop(was)
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
@@ -71,4 +102,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     roots = e.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
-    return e.select(F.col("v").alias("node"), F.col("m").alias("root")).union(roots)
+    out = e.select(F.col("v").alias("node"), F.col("m").alias("root")).union(roots)
+    out._shoalmark_path = e._shoalmark_path
+    return out

@@ -2,7 +2,7 @@
 
 A document's set holds the shingles of ``width`` words (64-bit hashes of lower-cased words chained).
 Documents with equal sets form one class first, so copies are never paired. Each class has a signature
-of ``coords`` minima and is posted under each (coordinate, value). The join then works like a
+of COORDS minima and is posted under each (coordinate, value). The join then works like a
 prefix-and-skip merge of posting lists:
 
 * coordinates that nobody shares are dropped, and classes that share fewer than ``match`` go;
@@ -11,18 +11,18 @@ prefix-and-skip merge of posting lists:
   on the two signatures;
 * pairs at or above ``match`` are confirmed exactly on full sets.
 
-Large groups of near copies are joined without all pairs: a list compares its members with ``reps``
-representatives first, the most central ones among them; what these links join is one component, and only members of different components
-of a list are then compared with each other (``rounds`` of new representatives, then every remaining cross
-pair), so no link between different components is lost.
+Lists are joined without squares by ``simjoin``: short ones by pairs, long ones by a star around their most
+central member and exact deltas to it, so that every link between different components is found.
 
-The match threshold lies 3.5 standard deviations below the mean number of matches at the similarity
-threshold, so a pair right at it is missed with a probability of about 5e-4, a nearer one more rarely.
+Recall: the number of matching coordinates of a pair is binomial. With 32 coordinates and a match of 17, a pair
+right at 80 % is missed with probability 4e-4, one at 85 % with 6e-6; at 100 TB raise both in proportion.
 
 Defined results: null or word-less texts have the empty set, stand alone (n_shingles 0) and link with
 nothing; texts with fewer words than ``width`` have their whole word sequence as the one shingle;
-repeated doc_ids count as rows of one document; null doc_ids are returned unlinked and kept; an empty
-table gives no rows. The component id is the smallest doc_id that is reachable.
+rows that repeat a doc_id are rows of one document: each keeps its own set, and all of them are in one
+component; null doc_ids are returned unlinked and kept; an empty table gives no rows; the longest text is one
+row of a task, read whole; other columns are not touched. The component id is the smallest doc_id that is
+reachable, so ties cannot occur.
 """
 
 from __future__ import annotations
@@ -35,11 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, table
+from . import simjoin
+from .common import components, drop, keep, table
 
-COORDS, MATCH, REPS = 64, 40, 8
+COORDS, MATCH = 32, 17
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SALTS = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
+TIMES = ((SALTS & np.uint64(0xFFFFFFFF)) | np.uint64(1)).astype(np.uint32)
+PLUS = (SALTS >> np.uint64(32)).astype(np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,31 +50,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Memo(dict):
+    """Hashes of words; emptied when it holds ``limit`` of them."""
+
+    limit = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+MEMO = Memo()
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    if len(words) < width:
-        width = len(words)
+    h = np.fromiter(map(MEMO.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(words))
     n = len(words) - width + 1
     out = np.full(n, np.uint64(width))
     for k in range(width):
-        out = mix((out + h[k : k + n]) * M1)
+        out += h[k : k + n]
+        out = mix(out * M1)
     return np.unique(out)
 
 
-def signature(s: np.ndarray, coords: int) -> np.ndarray:
+def signature(s: np.ndarray, coords: int, step: int = 4096) -> np.ndarray:
     """Minima of ``coords`` hash functions, 32 bits each."""
-    out = np.empty(coords, np.int32)
-    for k in range(coords):
-        out[k] = ((mix((s ^ SALTS[k]) * M1)).min() >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return out
+    v = (s >> np.uint64(32)).astype(np.uint32)
+    out = np.full(coords, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(v), step):
+        np.minimum(out, (v[k : k + step] * TIMES[:coords, None] + PLUS[:coords, None]).min(1), out=out)
+    return out.view(np.int32)
 
 
 def signatures(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sig): two 64-bit hashes name the set; sig is null when it is empty."""
+    """(doc_id, n_shingles, set_a, set_b, mark, sig) of each row.
+
+    Two 64-bit hashes name the set, mark is a hash of the text; sig is null when the set is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,131 +101,71 @@ def signatures(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
             for t in b.column(1):
                 s = shingles(t.as_py(), width)
                 n.append(len(s))
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                names.append(d)
+                names.append(xxhash.xxh3_128_intdigest(s.tobytes()))
                 sigs.append(signature(s, coords) if len(s) else None)
             half = [np.array([(d >> k) & (2**64 - 1) for d in names], np.uint64).view(np.int64) for k in (64, 0)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), *map(pa.array, half), pa.array(sigs, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                [b.column(0), pa.array(n, pa.int64()), *map(pa.array, half), b.column(2), pa.array(sigs, pa.list_(pa.int32()))],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "mark", "sig"],
             )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, mark long, sig array<int>")
 
 
-def _lists(classes: DataFrame, coords: int, match: int) -> DataFrame:
-    """The prefix postings (key, rep, weight) without lists of one; the weight is how often others hold its values."""
-    posted = classes.select("rep", F.posexplode("sig").alias("k", "v")).select(
-        "rep", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key")
+def prefix_lists(classes: DataFrame, match: int = MATCH) -> DataFrame:
+    """(key, id, weight): the postings of the rarest coordinates, without lists of one."""
+    posts = classes.select("id", F.posexplode("sig").alias("k", "v")).select(
+        "id", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key")
     )
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    per = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    per = per.where(F.size("keys") >= match)
-    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    cut = per.select("rep", weight.alias("weight"), F.explode(F.expr(f"slice(keys, 1, size(keys) - {match - 1})")).alias("x"))
-    return keep(cut.select("rep", "weight", "x.key"), "prefix")
-
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return simjoin.prefix(posts.join(shared, "key"), ["id"], F.max(F.lit(match))).select("key", "id", F.col("sum").alias("weight"))
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: 100 * |A and B| >= percent * |A or B|.
 
-    Each pair's rows are met one by one, so memory is bounded by two texts and a batch.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH) -> DataFrame | None:
+    """(node, root) of the classes (id, rep, mark, n_shingles, sig) that are similar to others."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                x = b.slice(k, 256)
-                got = [shingles(t.as_py(), width).tobytes() for t in x.column(1)]
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(got, pa.binary())], names=["id", "s"])
-
-    # a null or repeated doc_id may have several rows; the smallest row of a class stands for it
-    full = keep(texts.join(ends, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
-    full = full.groupBy("id").agg(F.min("s").alias("s"))
-    both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z, good = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for k in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[k].as_py(), np.uint64) for c in (2, 3))
-                both_ = np.intersect1d(x, y, assume_unique=True).size
-                good.append(100 * both_ >= percent * (x.size + y.size - both_))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v for v, g in zip(c, good) if g], pa.int64()) for c in (a, z)], names=["a", "b"]
-            )
+    def fetch(ids: DataFrame) -> DataFrame:
+        one = classes.join(ids, "id", "left_semi").select("id", "rep", "mark")
+        both = texts.join(one, "rep").where(F.xxhash64("text") == F.col("mark"))
+        return keep(both.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    small = classes.select("id", "sig", "n_shingles")
 
-
-def near_links(
-    docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH, rounds: int = 1, reps: int = REPS
-) -> DataFrame:
-    """Confirmed links (a, b) between classes that hold every component of the similarity graph together."""
-    coords = COORDS
-    lists = _lists(classes, coords, match)
-    small = classes.select("rep", "sig", "n_shingles")
-
-    def near(pairs: DataFrame) -> DataFrame:
+    def sieve(pairs: DataFrame) -> DataFrame:
         """Count collisions on the signatures; sizes must allow the similarity."""
-        a, b = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
-        x = pairs.distinct().join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
+        a, b = (small.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in "ab")
+        x = pairs.join(a, "a").join(b, "b")
         same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-        fit = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-        return keep(x.where(fit & (same >= match)).select("a", "b"), "pairs")
-
-    links = None
-    for i in range(rounds + 1):
-        if links is None:
-            state = lists.select("key", "rep", "weight", F.col("rep").alias("root"))
-        else:
-            roots = components(links)
-            state = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-                "key", "rep", "weight", F.coalesce("root", "rep").alias("root")
-            )
-        span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        state = keep(state.join(span.select("key"), "key"), "state")
-        if state.isEmpty():
-            break
-        if i < rounds:
-            # half are central (the original of many copies shares values with all of them), half drawn by hash
-            part = F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(reps // 2))
-            drawn = [F.max(F.struct(F.when(part == k, F.col("weight")).otherwise(-1).alias("draw"), "rep", "root")) for k in range(reps // 2)]
-            drawn += [F.max(F.struct(F.xxhash64("rep", F.lit(i * reps + k)).alias("draw"), "rep", "root")) for k in range(reps // 2)]
-            star = state.groupBy("key").agg(F.array(*drawn).alias("c")).select("key", F.explode("c").alias("c")).select("key", "c.rep", "c.root").distinct()
-            star = star.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-            pairs = state.join(star, "key").where("root <> root_b").select(F.col("rep").alias("a"), "b")
-        else:
-            x, y = state, state.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-            pairs = x.join(y, "key").where("root < root_b").select(F.col("rep").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = keep(_confirm(near(pairs), docs, width, percent), "links")
-        links = found if links is None else links.union(found)
-    return links
+        fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        return x.where(fit & (same >= match)).select(*pairs.columns)
+
+    lists = keep(prefix_lists(classes, match), "prefix")
+    return simjoin.links(lists, fetch, lambda t: shingles(t, width), percent, sieve=sieve)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, match: int = MATCH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (the smallest doc_id of its component)."""
-    sigs = keep(signatures(docs, width), "sigs")
+    sigs = keep(signatures(docs, width).withColumn("id", F.when(F.col("sig").isNotNull() & F.col("doc_id").isNotNull(), F.xxhash64("set_a", "set_b"))), "sigs")
+    first = F.min(F.struct("doc_id", "mark"))
     classes = keep(
-        sigs.where("sig is not null and doc_id is not null")
-        .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
+        sigs.where("id is not null").groupBy("id").agg(first["doc_id"].alias("rep"), first["mark"].alias("mark"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
         "classes",
     )
-    links = near_links(docs, classes, width, percent, match)
-    names = classes.select("set_a", "set_b", "rep")
-    if links is not None:
-        roots = components(links)
-        names = names.join(roots, F.col("rep") == F.col("node"), "left").select(
-            "set_a", "set_b", F.coalesce("root", "rep").alias("rep")
-        )
-    out = sigs.select("doc_id", "n_shingles", "set_a", "set_b", F.col("sig").isNotNull().alias("any"))
-    out = out.join(names.withColumn("any", F.lit(True)), ["set_a", "set_b", "any"], "left")
+    roots = roots_of(docs, classes, width, percent, match)
+    # rows of one document are connected, whatever their texts
+    rows = sigs.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    rows = sigs.where("id is not null").join(rows, "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
+    if not rows.isEmpty():
+        was, roots = roots, components(rows if roots is None else rows.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        drop(was)
+    names = classes.select("id", "rep")
+    if roots is not None:
+        names = names.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        least = names.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
+        names = names.join(least, "root", "left").select("id", F.coalesce("least", "rep").alias("rep"))
+    out = sigs.select("doc_id", "n_shingles", "id").join(names, "id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     out = out.select("doc_id", "n_shingles", comp.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
