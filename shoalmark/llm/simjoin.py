@@ -5,7 +5,8 @@ A list is a key with the members that hold it; any pair worth a look shares a li
 * lists whose members are all connected already are dropped;
 * a list of at most ``few`` members (GROWTH times as many in each further round, which has fewer postings) gives
   its pairs;
-* a longer one gives a star: each member is compared with the list's centre c only. That comparison also
+* a longer one gives a star: each member is compared with the list's heaviest member and with its centre c only,
+  the heaviest of this and neighbouring lists. The latter also
   yields the member's delta, the elements that x and c do not share, dx.
 
 What a star leaves open is settled exactly by deltas. With D(x, y) the number of elements that x and y do
@@ -15,7 +16,7 @@ and only if |dx and dy| >= (e(x) + e(y)) / (2 (100 + p)). The centre has the lea
 needs no common delta element is linked to the centre on both sides. Every other pair must share delta
 elements: members are posted under (c, element), elements that no other member of another component holds
 are dropped, a member with fewer than it needs goes, and of the rest only the rarest prefix that must hold a
-common one is posted. These postings are the lists of the next round. A sub-list leaves out its centre, so
+common one is posted; a pair is looked at only if what it needs is not more than either has. These postings are the lists of the next round. A sub-list leaves out its centre, so
 lists shrink from round to round (the centre is always the heaviest member, so members meet few centres); should any be left after ROUNDS rounds, their pairs are compared one by one.
 
 Rows made: at most ``few`` pairs a posting in short lists, one star row a posting and a delta per distinct
@@ -42,33 +43,40 @@ Shingler = Callable[[str], np.ndarray]
 def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
     """Of the postings (owner..., key, n) of each owner the rarest k - need + 1, for owners with k >= need.
 
-    Two owners that share ``need`` of their keys meet in one of these. ``sum`` is that of n over all k.
+    Two owners that share ``need`` of their keys meet in one of these. ``k`` is the number of an owner's keys, ``sum`` that of their n.
     """
     per = posts.groupBy(*owner).agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"), need.alias("need"))
     total = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    per = per.where("size(keys) >= need").select(*owner, total.alias("sum"), F.explode(F.expr("slice(keys, 1, size(keys) - need + 1)")).alias("x"))
-    return per.select(*owner, "sum", "x.key")
+    per = per.where("size(keys) >= need").select(*owner, total.alias("sum"), F.size("keys").alias("k"), F.explode(F.expr("slice(keys, 1, size(keys) - need + 1)")).alias("x"))
+    return per.select(*owner, "sum", "k", "x.key")
 
 
-def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, last: bool) -> DataFrame:
+def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, last: bool, up: int) -> DataFrame:
     """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a."""
     state = lists.withColumn("root", F.col("id")) if roots is None else (
         lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
-    top = F.max(F.struct("weight", "id"))["id"]
-    span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), top.alias("centre")).where("lo < hi")
-    state = keep(state.join(span.select("key", "n", "centre"), "key"), "state")
+    span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "id")).alias("top")).where("lo < hi")
+    state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
     # short lists with the same members are one list
-    short = state.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root"))).alias("m")).select("m").distinct()
-    short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-    short = short.where("x.root <> y.root").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
+    short = state.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k"))).alias("m")).select("m").distinct()
+    fits = f"y -> x.root <> y.root and x.e + y.e <= {2 * up} * least(x.k, y.k)"
+    short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), {fits})")).alias("y"))
+    short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
     if last:
         other = state.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
         star = state.where(F.col("n") > few).join(other, "key").where("root < other").select(F.col("id").alias("a"), "b", F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
         pairs = keep(short.union(star).distinct(), "pairs")
         drop(state)
         return pairs
-    star = state.where((F.col("n") > few) & (F.col("id") != F.col("centre"))).select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"), "weight")
+    # lists of one family share a centre: that which most of a list's members meet as the heaviest of all their lists
+    long = state.where(F.col("n") > few)
+    best = long.groupBy("id").agg(F.max("top")["id"].alias("best"))
+    centre = long.join(best, "id").groupBy("key").agg(F.mode("best", True).alias("centre"))
+    star = long.join(centre, "key").where("id <> centre")
+    star = star.select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"), "weight")
+    own = long.where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
+    star = star.union(own)
     pairs = keep(short.union(star).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("weight").alias("weight")), "pairs")
     drop(state)
     return pairs
@@ -126,16 +134,16 @@ def _deltas(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     # |dx and dy| elements in dy, so e(y) >= (up - down) |dx and dy| - down |c|
     e, c = up * F.size("delta") - down * F.col("size"), down * F.col("centre")
     need = F.when(F.col("near"), F.ceil((e + c + 1) / (2 * up))).otherwise(F.ceil((e - c) / (up + down))).cast("int")
-    posts = star.select("b", "id", "root", F.greatest(F.lit(1), need).alias("need"), "weight", F.explode("delta").alias("t")).withColumn("key", F.xxhash64("b", "t"))
+    posts = star.select("b", "id", "root", F.greatest(F.lit(1), need).alias("need"), "weight", e.alias("e"), F.explode("delta").alias("t")).withColumn("key", F.xxhash64("b", "t"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
-    return prefix(posts.join(shared, "key"), ["b", "id", "weight"], F.max("need")).select("key", "id", "weight")
+    return prefix(posts.join(shared, "key"), ["b", "id", "weight", "e"], F.max("need")).select("key", "id", "weight", "e", "k")
 
 
 def links(
     lists: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Shingler, percent: int,
     few: int = FEW, sieve: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Roots (node, root) of the members of ``lists`` (key, id, weight) that have links.
+    """Roots (node, root) of the members of ``lists`` (key, id, weight; e and k are 0) that have links.
 
     ``texts`` gives (id, text) for a table of ids; ``shingles`` the sorted distinct elements of a text;
     ``sieve`` may drop pairs (a, b, star, weight) of short lists before texts are fetched.
@@ -143,7 +151,7 @@ def links(
     held = texts(lists.select("id").distinct())
     roots = None
     for i in range(ROUNDS + 1):
-        pairs = _pairs(lists, roots, few * GROWTH**i, i == ROUNDS)
+        pairs = _pairs(lists, roots, few * GROWTH**i, i == ROUNDS, 100 + percent)
         drop(lists)
         if pairs.isEmpty():
             break
