@@ -61,6 +61,14 @@ def drop(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column (in any case) has it."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

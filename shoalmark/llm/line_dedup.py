@@ -2,19 +2,24 @@
 
 Equal lines form one class by hash. A class's signature holds minima over all its character shingles, the set
 that links are judged on. Bands of the signature bring candidate lines together; a pair is linked if the
-Jaccard similarity of the full sets of character shingles is at least ``percent``. Within a band's bucket all
-members meet a few representatives first, then only members whose components still differ meet each other,
-so large groups of near copies make no square of pairs and no link between components is lost. Of each
-component the first line stays (smallest doc_id, then position); all others go.
+Jaccard similarity of the full sets of character shingles is at least ``percent``. Lists of candidates are
+joined without squares by ``simjoin``: short ones by pairs, long ones by a star around a central line and exact
+deltas to it, so no link between components is lost. Of each component the first line stays (smallest doc_id,
+then position); all others go.
 
-Banding finds a pair at the threshold with probability 1 - (1 - 0.8^3)^10 = 0.9992.
+Recall: BANDS bands of ROWS minima find a pair at the threshold with probability 1 - (1 - 0.8^6)^20 = 0.9977, one
+at 85 % with 0.9999. Six rows keep chance meetings rare (a pair at 10 % meets with probability 2e-5); as they
+grow with the square of the lines, ROWS is to grow with the logarithm of their number. Two bits of each minimum
+rule out far pairs before lines are fetched (they lose a pair at 80 % with probability 1e-4).
 
 Signatures and set comparisons run in numpy on Arrow batches: in DataFrame functions alone they took over
 three times the CPU time allowed (see the README). Everything else is joins and sums.
 
 Defined results: blank lines always stay and are compared with nothing; a null text stays null; a document
 all of whose lines go is dropped, and one that had no words before stays; rows that repeat doc_id and
-text are one document; rows of a null doc_id sort first. Lines are compared whole, whatever their length.
+text are one document; rows of a null doc_id sort first; an empty table gives no rows; ties go to the smaller
+position; other columns stay, whatever their names. Lines are compared whole, whatever their length. A line is
+known by a 64-bit hash: 10^10 different lines hold a colliding pair with a probability near one, 10^8 with 3e-4.
 """
 
 from __future__ import annotations
@@ -27,133 +32,167 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, table
-from .minhash import M1, SALTS, mix
+from . import simjoin
+from .common import drop, fresh, keep, table
+from .minhash import M1, PLUS, TIMES, agree, mix, two_bits
 
-WIDTH, BANDS, ROWS, PERCENT, REPS = 5, 10, 3, 80, 4
+WIDTH, BANDS, ROWS, PERCENT = 5, 20, 6, 80
+#: Minima of which two bits each are kept, and how many must agree; bands in one pass over the signatures.
+FINE, AGREE, PASS = 128, 93, 4
 SPACES = b" \t\n\v\f\r"
 
 
-def bands(lines: list[bytes]) -> np.ndarray:
-    """One row of BANDS keys for each line (none is empty), from minima over all its character shingles."""
+def chained(cp: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window of WIDTH code points."""
+    v = np.full(len(cp) - WIDTH + 1, np.uint64(WIDTH))
+    for k in range(WIDTH):
+        v += cp[k : k + len(v)]
+        v = mix(v * M1)
+    return v
+
+
+def shingles(line: str) -> np.ndarray:
+    """The sorted distinct hashes of a line's character shingles; a shorter line is its own shingle."""
+    cp = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    return np.unique(chained(np.pad(cp, (0, max(0, WIDTH - len(cp))))))
+
+
+def minima(lines: list[bytes], coords: int = FINE, wide: int = 64, step: int = 512) -> np.ndarray:
+    """A row of ``coords`` minima for each line (none is empty), over all its character shingles."""
     gap = b"\n" * WIDTH  # so that the one window of a short line ends before the next line
     cp = np.frombuffer((gap.join(lines) + gap).decode().encode("utf-32-le"), np.uint32)
     end = np.flatnonzero(cp == 10)[::WIDTH]
     start = np.concatenate([[0], end[:-1] + WIDTH])
     count = np.maximum(end - start - (WIDTH - 1), 1)
-    begin = np.cumsum(count) - count
-    at = np.repeat(start - begin, count) + np.arange(count.sum())
-    v = np.full(len(cp) - WIDTH + 1, np.uint64(WIDTH))
-    for k in range(WIDTH):
-        v = mix((v + cp[k : k + len(v)]) * M1)
-    v = (v[at] >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    v = (chained(cp) >> np.uint64(32)).astype(np.uint32)
+    # windows in segments of ``wide``, the last one of a line filled up with its last window
+    segments = -(-count // wide)
+    first = np.cumsum(segments) - segments
+    line = np.repeat(np.arange(len(lines)), segments)
+    at = start[line] + (np.arange(len(line)) - first[line]) * wide
+    last = (start + count - 1)[line]
+    out = np.empty((len(line), coords), np.uint32)
+    for s in range(0, len(line), step):
+        block = v[np.minimum(at[s : s + step] + np.arange(wide)[:, None], last[s : s + step])]
+        own = np.empty_like(block)
+        for k in range(coords):
+            np.multiply(block, TIMES[k], out=own)
+            own += PLUS[k]
+            out[s : s + step, k] = own.min(0)
+    return np.minimum.reduceat(out, first, axis=0)
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """BANDS keys of each row of minima."""
+    out = np.empty((len(low), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(lines), np.uint64(b + 1))
+        key = np.full(len(low), np.uint64(b + 1))
         for k in range(b * ROWS, b * ROWS + ROWS):
-            own = v * np.uint32((SALTS[k] & np.uint64(0xFFFFFFFF)) | np.uint64(1)) + np.uint32(SALTS[k] >> np.uint64(32))
-            key = mix((key ^ np.minimum.reduceat(own, begin).astype(np.uint64)) * M1)
+            key = mix((key ^ low[:, k].astype(np.uint64)) * M1)
         out[:, b] = key
     return out.view(np.int64)
 
 
+def lines_of(text: str | None) -> Iterator[tuple[int, bytes]]:
+    """(position, line) of the lines that are not blank."""
+    for pos, line in enumerate((text or "").encode().split(b"\n")):
+        if line.strip(SPACES):
+            yield pos, line
+
+
+def named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, pos, h, k0 ...): a row for each line that is not blank, with its hash and band keys."""
-    names = ["doc_id", "rid", "pos", "h", *(f"k{b}" for b in range(BANDS))]
+    """(doc_id, rid, pos, h): a row for each line that is not blank, with its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, pos, h = [], [], []
+            for i, x in enumerate(b.column(2)):
+                for p, line in lines_of(x.as_py()):
+                    of.append(i)
+                    pos.append(p)
+                    h.append(xxhash.xxh64_intdigest(line, 42))
+            own = [b.column(k).take(pa.array(of, pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pos, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], names=["doc_id", "rid", "pos", "h"])
+
+    return named(docs).mapInArrow(run, "doc_id long, rid long, pos int, h long")
+
+
+def signatures(docs: DataFrame, seen_most: int = 500_000) -> DataFrame:
+    """(id, k0 ..., f0 ...): hash, band keys and two-bit minima of the lines; a worker skips lines that it has seen."""
+    longs = [*(f"k{b}" for b in range(BANDS)), *(f"f{k}" for k in range(FINE // 32))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(held: list) -> pa.RecordBatch:
-            lines = [x[3] for x in held]
-            h = np.array([xxhash.xxh64_intdigest(x, 42) for x in lines], np.uint64).view(np.int64)
-            keys = bands(lines)
-            cols = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int32()), pa.array(h)]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array(keys[:, b]) for b in range(BANDS))], names=names)
+        seen: set[int] = set()
+
+        def rows(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            low = minima([x for _, x in held])
+            cols = np.concatenate([bands(low), two_bits(low)], 1)
+            h = np.array([x for x, _ in held], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, np.ascontiguousarray(cols.T))], names=["id", *longs])
 
         for b in batches:
             held, size = [], 0
-            for doc, rid, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for pos, line in enumerate((x.as_py() or "").encode().split(b"\n")):
-                    if line.strip(SPACES):
-                        held.append((doc, rid, pos, line))
-                        size += len(line)
+            for x in b.column(0):
+                for _, line in lines_of(x.as_py()):
+                    h = xxhash.xxh64_intdigest(line, 42)
+                    if h not in seen:
+                        if len(seen) >= seen_most:
+                            seen.clear()
+                        seen.add(h)
+                        held.append((h, line))
+                        size += len(line) + 64
                         if size > 1 << 20:
                             yield rows(held)
                             held, size = [], 0
             if held:
                 yield rows(held)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-    return docs.mapInArrow(run, f"doc_id long, rid long, pos int, h long, {', '.join(f'k{b} long' for b in range(BANDS))}")
-
-
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(h, line) of the lines whose hash is among ``nodes``."""
-    one = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("h", F.xxhash64("line"))
-    return one.join(nodes, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-
-
-def similar(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose sets of character shingles are similar enough; a shorter line is its own shingle."""
-    la = texts.select(F.col("h").alias("a"), F.col("line").alias("la"))
-    lb = texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(la, "a").join(lb, "b")
-
-    def shingles(s: str) -> set[str]:
-        return {s[i : i + width] for i in range(len(s) - width + 1)} if len(s) >= width else {s}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good, last, x = [], None, set()
-            for p, q in zip(b.column(2), b.column(3)):
-                p, q = p.as_py(), q.as_py()
-                if p is not last and p != last:
-                    last, x = p, shingles(p)
-                y = shingles(q)
-                ok = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-                k = len(x & y) if ok else 0
-                good.append(ok and 100 * k >= percent * (len(x) + len(y) - k))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
-
-    return both.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
-
-
-def links(docs: DataFrame, at: DataFrame, percent: int = PERCENT, rounds: int = 1) -> DataFrame:
-    """Confirmed links (a, b) between line hashes."""
-    keys = [F.col(f"k{b}") for b in range(BANDS)]
-    cls = at.groupBy("h").agg(*(F.min(k).alias(f"k{b}") for b, k in enumerate(keys)))
-    posted = cls.select("h", F.explode(F.array(*keys)).alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    posted = posted.join(shared, "key")
-    weight = posted.groupBy("h").agg(F.sum("n").alias("weight"))  # how often others hold its keys
-    posted = keep(posted.select("h", "key").join(weight, "h"), "posted")
-    texts = keep(texts_of(docs, posted.select("h").distinct()), "lines")
-    out = None
-    for i in range(rounds + 1):
-        state = posted.withColumn("root", F.col("h"))
-        if out is not None:
-            state = posted.join(components(out).withColumnRenamed("node", "h"), "h", "left")
-            state = state.select("h", "key", "weight", F.coalesce("root", "h").alias("root"))
-        span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        state = keep(state.join(span, "key"), "state")
-        if i < rounds:
-            part = F.pmod(F.xxhash64("h"), F.lit(REPS // 2))  # half are central, half drawn by hash
-            drawn = [F.max(F.struct(F.when(part == k, F.col("weight")).otherwise(-1).alias("draw"), "h")) for k in range(REPS // 2)]
-            drawn += [F.max(F.struct(F.xxhash64("h", F.lit(k)).alias("draw"), "h")) for k in range(REPS // 2)]
-            rep = state.groupBy("key").agg(F.array(*drawn).alias("c")).select("key", F.explode("c.h").alias("g")).distinct()
-            pairs = state.join(rep, "key").where("h <> g").select("h", "g")
-        else:
-            other = state.select("key", F.col("h").alias("g"), F.col("root").alias("root_g"))
-            pairs = state.join(other, "key").where("root < root_g").select("h", "g")
-        pairs = pairs.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
-        found = keep(similar(pairs, texts, percent), "links")
-        out = found if out is None else out.union(found)
+    return docs.select("text").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in longs))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the lines whose hash is among ``ids``."""
+    one = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
+    return one.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, root) of the line hashes that are linked to others."""
+    sigs = keep(signatures(docs), "linesigs")
+    lists = []
+    for p in range(0, BANDS, PASS):
+        posts = sigs.select("id", F.explode(F.array(*(F.col(f"k{b}") for b in range(p, p + PASS)))).alias("key"))
+        shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+        lists.append(keep(posts.join(shared, "key").distinct(), "posts"))
+    posts = lists[0]
+    for more in lists[1:]:
+        posts = posts.union(more)
+    n = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = keep(posts.join(n, "key").groupBy("id").agg(F.sum("n").alias("weight")), "weight")
+    full = keep(posts.join(weight, "id").select("key", "id", "weight", F.lit(0).cast("long").alias("e"), F.lit(0).alias("k")), "lists")
+    longs = [f"f{k}" for k in range(FINE // 32)]
+    fine = keep(sigs.join(weight.select("id"), "id", "left_semi").groupBy("id").agg(F.array(*(F.min(c) for c in longs)).alias("fine")), "fine")
+    drop(sigs, weight, *lists)
+
+    def sieve(pairs: DataFrame) -> DataFrame:
+        a, b = (fine.select(F.col("id").alias(s), F.col("fine").alias(f"fine_{s}")) for s in "ab")
+        return pairs.join(a, "a").join(b, "b").where(agree("fine_a", "fine_b", FINE // 32) >= AGREE).select(*pairs.columns)
+
+    out = simjoin.links(full, lambda ids: keep(texts_of(docs, ids), "lines"), shingles, percent, sieve=sieve)
+    drop(fine)
     return out
 
 
 def dropped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, rid, gone): the positions (from 0) of the lines that go, for documents that lose any."""
     at = keep(places(docs), "places")
-    roots = components(links(docs, at, percent)).withColumnRenamed("node", "h")
+    roots = roots_of(docs, percent)
+    none = at.sparkSession.createDataFrame([], "h long, root long")
+    roots = none if roots is None else roots.withColumnRenamed("node", "h")
     spread = [F.min("doc_id"), F.max("doc_id"), F.min("rid"), F.max("rid"), F.min("pos"), F.max("pos")]
     many = at.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *(c.alias(f"s{k}") for k, c in enumerate(spread)))
     many = many.where("n > 1 and not (s0 <=> s1 and s2 <=> s3 and s4 <=> s5)").select("h")
@@ -161,17 +200,22 @@ def dropped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mine = keep(at.select("doc_id", "rid", "pos", "h").join(group, "h").select("doc_id", "rid", "pos", "root"), "grouped")
     first = mine.groupBy("root").agg(F.min(F.struct("doc_id", "pos", "rid")).alias("first"))
     gone = mine.join(first, "root").where(~F.struct("doc_id", "pos", "rid").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("gone"))
+    out = keep(gone.groupBy("doc_id", "rid").agg(F.collect_set("pos").alias("gone")), "gone")
+    drop(at, mine)
+    return out
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the lines of ``text`` thinned; all other columns stay (n_chars follows the text)."""
-    gone = dropped(docs, percent).select(F.col("doc_id").alias("__id"), F.col("rid").alias("__r"), F.col("gone").alias("__gone"))
-    df = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    df = df.join(gone, (F.col("__rid") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    df = df.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    df = df.where(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rid, own, id_, gone = (fresh(docs.columns, c) for c in ("rid", "own_rid", "own_id", "gone_lines"))
+    lost = dropped(docs, percent).select(F.col("doc_id").alias(id_), F.col("rid").alias(own), F.col("gone").alias(gone))
+    df = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    df = df.join(lost, (F.col(rid) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    thin = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    df = df.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(thin))
+    df = df.where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*docs.columns)

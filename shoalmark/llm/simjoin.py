@@ -4,7 +4,8 @@ A list is a key with the members that hold it; any pair worth a look shares a li
 
 * lists whose members are all connected already are dropped;
 * a list of at most ``few`` members (GROWTH times as many in each further round, which has fewer postings) gives
-  its pairs;
+  its pairs; but in the first round one of more than PAIRS members only compares all with its heaviest, which
+  connects most, and gives the pairs that are still unconnected in the second;
 * a longer one gives a star: each member is compared with the list's heaviest member and with its centre c only,
   the heaviest of this and neighbouring lists. The latter also
   yields the member's delta, the elements that x and c do not share, dx.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, drop, keep
 
-FEW, GROWTH, ROUNDS = 64, 4, 6
+PAIRS, FEW, GROWTH, ROUNDS = 8, 64, 4, 6
 IN, OUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 Shingler = Callable[[str], np.ndarray]
@@ -51,15 +52,16 @@ def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
     return per.select(*owner, "sum", "k", "x.key")
 
 
-def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, last: bool, up: int) -> DataFrame:
-    """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a."""
+def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a. Beside it the lists that wait for the next round."""
     state = lists.withColumn("root", F.col("id")) if roots is None else (
         lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
     span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "id")).alias("top")).where("lo < hi")
     state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
+    middle = state.where(F.col("n").between(PAIRS + 1, few)) if first else None
     # short lists with the same members are one list
-    short = state.where(F.col("n") <= few).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k"))).alias("m")).select("m").distinct()
+    short = state.where(F.col("n") <= (PAIRS if first else few)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k"))).alias("m")).select("m").distinct()
     fits = f"y -> x.root <> y.root and x.e + y.e <= {2 * up} * least(x.k, y.k)"
     short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), {fits})")).alias("y"))
     short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
@@ -68,18 +70,19 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, last: bool, up:
         star = state.where(F.col("n") > few).join(other, "key").where("root < other").select(F.col("id").alias("a"), "b", F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
         pairs = keep(short.union(star).distinct(), "pairs")
         drop(state)
-        return pairs
+        return pairs, None
     # lists of one family share a centre: that which most of a list's members meet as the heaviest of all their lists
     long = state.where(F.col("n") > few)
     best = long.groupBy("id").agg(F.max("top")["id"].alias("best"))
     centre = long.join(best, "id").groupBy("key").agg(F.mode("best", True).alias("centre"))
     star = long.join(centre, "key").where("id <> centre")
     star = star.select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"), "weight")
-    own = long.where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
+    own = (state.where(F.col("n") > PAIRS) if first else long).where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
     star = star.union(own)
     pairs = keep(short.union(star).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("weight").alias("weight")), "pairs")
+    wait = None if middle is None else keep(middle.select("key", "id", "weight", "e", "k"), "middle")
     drop(state)
-    return pairs
+    return pairs, wait
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: int) -> DataFrame:
@@ -151,7 +154,7 @@ def links(
     held = texts(lists.select("id").distinct())
     roots = None
     for i in range(ROUNDS + 1):
-        pairs = _pairs(lists, roots, few * GROWTH**i, i == ROUNDS, 100 + percent)
+        pairs, wait = _pairs(lists, roots, few * GROWTH**i, i == 0, i == ROUNDS, 100 + percent)
         drop(lists)
         if pairs.isEmpty():
             break
@@ -163,7 +166,8 @@ def links(
         new = seen.where("near").select("a", "b")
         was, roots = roots, components(new if roots is None else new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         drop(was)
-        lists = keep(_deltas(seen, roots, percent), "lists")
-        drop(seen)
-    drop(lists, held, pairs)
+        lists = _deltas(seen, roots, percent)
+        lists = keep(lists if wait is None else lists.union(wait), "lists")
+        drop(seen, wait)
+    drop(lists, held, pairs, wait)
     return roots
