@@ -1,23 +1,29 @@
 """Packing documents into fixed sequences by harmonic classes (operator 8).
 
-A document's ids are cut into whole sequences of ``capacity`` and a rest; the rest is cut into lengths
-capacity/2, capacity/4, ... 1, as its binary digits say. Each length is a reciprocal class of the
-capacity: a bin of class capacity/j takes exactly j pieces and is then full, so bins never need to be
-searched and each worker fills its own. What a worker has left in a class at its end (fewer than j
-pieces) is closed as sequences of 1, 2, 4, ... pieces, whose lengths are powers of two. No sequence
-holds padding: each is either full or of a power of two.
-
-Defined results: a null text counts as empty and yields the closing id alone; a document of no rest has
-whole sequences only; an empty table gives no rows; ties and repeated rows are packed each. Pieces of a
-document appear in order of ``start``. Sequence ids are unique: worker number times 2^33 plus a counter.
-A worker that is run again packs the same input partition and gives the same ids as long as that
-partition comes in the same order, which holds for scans of files.
+A document's ids beyond whole sequences of ``capacity`` C are its rest. A rest of r ids belongs to class k with
+C/(k+1) < r <= C/k, and a bin of class k < CLASSES takes exactly k of them, whole, so bins never need to be
+searched and each worker fills its own. What k rests leave free is the bin's gap. Rests of the last class, at
+most C/CLASSES ids, fill the gaps in order of arrival: whole where they fit, and one is cut where the gap ends.
+If bins with gaps pile up (WAITING of them) the next rest fills gaps, whatever its class. At a worker's end the bins
+that are still open are laid end to end as whole sequences; the last part is cut into powers of two.
+
+So no sequence holds padding, and a bin adds one cut at most: a table has about as many pieces as documents and
+sequences together, and only documents at a gap's end or longer than a sequence are cut.
+
+Special tokens in a text are found as the library finds them. Defined results: a null text counts as empty and
+yields the closing id alone; a document of no rest has whole sequences only; an empty table gives no rows; ties
+and repeated rows are packed each, rows of a null doc_id too; other columns are not read; a very long text is
+one row of a task. Pieces of a document appear in any order of sequences. Sequence ids are unique: worker number
+times 2^33 plus a counter. A worker that is run again packs the same input partition and gives the same ids as
+long as that partition comes in the same order, which holds for scans of files. A worker holds its open bins:
+at most CLASSES rests a class, and WAITING bins.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunks import ChunkCache
 from .common import table
 
-CAPACITY = 2048
+CAPACITY, CLASSES, WAITING = 2048, 16, 32
 CLOSING_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -51,8 +57,6 @@ def coder(path: str | None) -> ChunkCache:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path or P.path(VOCABULARY))
-    t.encode_special_tokens = True
-
     model = t.model
     signs = byte_signs()
 
@@ -75,15 +79,82 @@ def coder(path: str | None) -> ChunkCache:
 
 
 class Harmonic:
-    """The open bins of one worker; ``place`` gives (sequence, offset) for a class length."""
+    """The bins of one worker. A part is (doc, start, ids as bytes, doc_tokens); rows gets SCHEMA's tuples."""
+
+    def __init__(self, worker: int, capacity: int = CAPACITY, classes: int = CLASSES, waiting: int = WAITING):
+        self.next, self.capacity, self.classes, self.most = worker << 33, capacity, classes, waiting
+        self.rows: list[tuple] = []
+        self.bins: dict[int, list] = {}
+        self.gaps: deque[list] = deque()  # bins of k rests, with a gap
+        self.small: deque[tuple] = deque()
+
+    def close(self, parts: list[tuple]) -> None:
+        """One sequence of ``parts``."""
+        at = 0
+        for doc, start, raw, total in parts:
+            n = len(raw) // 4
+            self.rows.append((doc, start, n, zlib.crc32(raw), total, self.next, at))
+            at += n
+        self.next += 1
 
-    def __init__(self, worker: int, capacity: int):
-        self.next, self.capacity = worker << 33, capacity
-        self.open: dict[int, list] = {}
+    @staticmethod
+    def take(parts: deque[tuple], size: int) -> list[tuple]:
+        """Parts of at most ``size`` ids off the front; the last one is cut if it does not fit."""
+        out = []
+        while size and parts:
+            doc, start, raw, total = parts.popleft()
+            n = min(size, len(raw) // 4)
+            out.append((doc, start, raw[: 4 * n], total))
+            if 4 * n < len(raw):
+                parts.appendleft((doc, start + n, raw[4 * n :], total))
+            size -= n
+        return out
 
-    def fresh(self) -> int:
-        self.next += 1
-        return self.next - 1
+    def add(self, doc, raw: bytes) -> None:
+        """One document with its closing id."""
+        total, size = len(raw) // 4, self.capacity
+        whole = total // size * size
+        for at in range(0, whole, size):
+            self.close([(doc, at, raw[4 * at : 4 * (at + size)], total)])
+        r = total - whole
+        if not r:
+            return
+        part = (doc, whole, raw[4 * whole :], total)
+        k = min(self.classes, size // r)
+        if k == self.classes or len(self.gaps) >= self.most:
+            self.small.append(part)
+        else:
+            held = self.bins.setdefault(k, [])
+            held.append(part)
+            if len(held) < k:
+                return
+            self.gaps.append(self.bins.pop(k))
+        self.fill()
+
+    def fill(self) -> None:
+        """Lay the small rests into the gaps; those of a class that no gap takes make bins of their own."""
+        while self.gaps:
+            held = self.gaps[0]
+            free = self.capacity - ids_in(held)
+            held += self.take(self.small, free)
+            if ids_in(held) < self.capacity:
+                break
+            self.close(self.gaps.popleft())
+        if ids_in(self.small) >= self.capacity:
+            self.close(self.take(self.small, self.capacity))
+
+    def end(self) -> None:
+        for held in [*self.gaps, *self.bins.values()]:
+            self.small.extend(held)
+        left = ids_in(self.small)
+        while left:
+            size = min(self.capacity, 1 << (left.bit_length() - 1))
+            self.close(self.take(self.small, size))
+            left -= size
+
+
+def ids_in(parts) -> int:
+    return sum(len(p[2]) for p in parts) // 4
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, closing_id: int = CLOSING_ID, path: str | None = None) -> DataFrame:
@@ -95,44 +166,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, closing_id: int = CLOSING_ID
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = coder(path)
         bins = Harmonic(TaskContext.get().partitionId(), capacity)
-        rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            cols = [pa.array(x, pa.int64()) for x in zip(*rows)]
-            rows.clear()
+            cols = [pa.array(x, pa.int64()) for x in zip(*bins.rows)]
+            bins.rows.clear()
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        def close(length: int, held: list) -> None:
-            n, at = len(held), 0
-            while at < n:
-                take = 1 << ((n - at).bit_length() - 1)
-                seq = bins.fresh()
-                rows.extend((*x, seq, k * length) for k, x in enumerate(held[at : at + take]))
-                at += take
-
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for doc, raw in zip(ids, cache.encode(t or "" for t in b.column(1).to_pylist())):
-                raw += tail
-                total, at = len(raw) // 4, 0
-                while at < total:
-                    left = total - at
-                    length = capacity if left >= capacity else 1 << (left.bit_length() - 1)
-                    piece = (doc, at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), total)
-                    if length == capacity:
-                        rows.append((*piece, bins.fresh(), 0))
-                    else:
-                        held = bins.open.setdefault(length, [])
-                        held.append(piece)
-                        if len(held) == capacity // length:
-                            close(length, held)
-                            held.clear()
-                    at += length
-                if len(rows) >= 20_000:
+            for doc, raw in zip(b.column(0).to_pylist(), cache.encode(t or "" for t in b.column(1).to_pylist())):
+                bins.add(doc, raw + tail)
+                if len(bins.rows) >= 20_000:
                     yield flush()
-        for length, held in bins.open.items():
-            close(length, held)
-        if rows:
+        bins.end()
+        if bins.rows:
             yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -3,12 +3,14 @@
 Each document gets rule statistics (length, symbols, repeated lines and windows, word shapes). A forest of
 random-split trees is grown on a sample of labelled clean rows of at most ``trees * psi`` rows, in order
 of a hash of the doc_id; short expected path lengths mean an unusual document. The threshold is
-calibrated on all labelled rows: the lowest score at which at most ``clean_loss`` of the rows labelled
-clean (quality 1, not toxic) would go, moved up to where the gain in bad rows is largest.
+calibrated on all labelled rows that pass the base rule, as only of these the forest decides: the lowest score at
+which at most ``clean_loss`` of the rows labelled clean (quality 1, not toxic) would go, moved up to where the
+gain in bad rows is largest.
 
 Defined results: a null or word-less text has no words and fails the base rule; without labels of both
 kinds nothing but the base rule rejects; ties in score share a verdict; repeated rows are judged each;
-rows of a null doc_id are judged too. Very long texts are read whole.
+rows of a null doc_id are judged too, and an empty table gives no rows. Very long texts are read whole;
+other columns are not read (``keep_good`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, table
@@ -136,6 +138,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+
+
 def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT * n_words
 
@@ -147,7 +153,7 @@ def fit(
     one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     one = one.agg(F.min(F.when(good, 1).otherwise(0)).alias("clean"))
-    rows = keep(stats.join(one, "doc_id").select("doc_id", "stats", "clean"), "labelled")
+    rows = keep(stats.where(~failed()).join(one, "doc_id").select("doc_id", "stats", "clean"), "labelled")
     sample = rows.where("clean = 1").orderBy(F.xxhash64("doc_id"), "doc_id", "stats").limit(trees * psi).select("stats")
     x = np.array([r[0] for r in sample.collect()], float)
     if len(x) < 2:
@@ -185,8 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest, limit = fit(stats, labels)
     rest = ["doc_id", *COUNTS]
     out = scored(stats, forest, rest) if forest else stats.select(*rest, F.lit(0.0).alias("score"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
+    return out.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
