@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by ranks (operator 1).
 
-Each pre-token is merged with a rank queue: one bucket per merge rank holds the positions (starts of
-the left token in a linked list) whose pair has that rank; a bitmap in two levels of 256-bit words
-says which buckets are filled, and find-first-set on it gives the next rank. Entries are never
-removed when a neighbour merges; a popped entry whose pair has changed since is stale and skipped.
-The work is O(n) bucket operations of O(log bucket) for n bytes, whatever the length of the pre-token.
+Pre-tokens are merged with a rank queue: one bucket per merge rank holds the positions (starts of the left token in
+a linked list) whose pair has that rank; a bitmap in two levels says which buckets are filled, and find-first-set
+on it gives the next rank. Entries are never removed when a neighbour merges; a popped entry whose pair has
+changed since is stale and skipped. All new pre-tokens of about ``step`` characters of text are one list, so a
+bucket holds many positions and is merged at once. The work is O(n) bucket entries and O(log vocabulary) a pair.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; special
 tokens in a text are ordinary text. Rows, ties and repeated rows pass through one by one, so the
@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +29,29 @@ from .common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-BITS = [1 << i for i in range(256)]
-
-
 class RankQueue:
-    """Positions in buckets by rank, and a bitmap of two levels (256 ranks a word) of the filled ones."""
+    """Buckets of positions by rank, and a bitmap of two levels of the filled ones: 256 ranks a word, any number of words."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * (ranks // 256 + 1)
+        self.top = 0  # bit t: some rank of word low[t] has entries
+
+    def push(self, rank: int, positions: list[int]) -> None:
+        """A new bucket."""
+        self.buckets[rank] = positions
+        self.low[rank >> 8] |= 1 << (rank & 255)
+        self.top |= 1 << (rank >> 8)
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest filled rank, by find-first-set on both levels, and all its positions."""
+        t = (self.top & -self.top).bit_length() - 1
+        w = self.low[t]
+        rank = (t << 8) + (w & -w).bit_length() - 1
+        self.low[t] = w = w & (w - 1)
+        if not w:
+            self.top &= self.top - 1
+        return rank, self.buckets.pop(rank)
 
 
 class Bpe:
@@ -46,86 +59,106 @@ class Bpe:
         import regex
 
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.pieces = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.size = max(ranks.values()) + 1
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.bytes = {i: b for b, i in ranks.items()}
+        self.whole = {b: i.to_bytes(4, "little") for b, i in ranks.items()}  # pre-tokens that are one token
+        # all ways to cut a token into two tokens, as left * size + right, in order
+        cuts = {(ranks[b[:k]] * self.size + ranks[b[k:]]): r for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
+        self.pairs = np.array(sorted(cuts), np.int64)
+        self.merged = np.array([cuts[x] for x in self.pairs.tolist()] + [-1], np.int64)
+        self.pairs = np.append(self.pairs, np.iinfo(np.int64).max)
         self.cache = ChunkCache(self._many, 300_000)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        get, longest = self.ranks.get, self.longest
-        buckets, low, bits = self.queue.buckets, self.queue.low, BITS
-        top = 0  # bit t: some rank of word low[t] has entries
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        for i, r in enumerate([get(piece[i : i + 2]) for i in range(n - 1)]):
-            if r is not None:
-                pair[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # in rising order: a heap
-                else:
-                    buckets[r] = [i]
-                    low[r >> 8] |= bits[r & 255]
-                    top |= bits[r >> 8]
-        while top:
-            t = (top & -top).bit_length() - 1
-            w = low[t]
-            r = (t << 8) + (w & -w).bit_length() - 1
-            b = buckets[r]
-            if len(b) > 1:
-                i = heappop(b)
-            else:
-                i = b[0]
-                del buckets[r]
-                low[t] = w = w & (w - 1)
-                if not w:
-                    top &= top - 1
-            if pair[i] != r:
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens, -1 where they do not merge."""
+        key = left * self.size + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.merged[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian uint32. All are merged together, as one linked list in which no pair crosses their ends.
+
+        What has the lowest rank anywhere has it in its own pre-token too, so a bucket's positions are merged at
+        once; where they overlap (aaa) every second one of a run is.
+        """
+        token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(token)
+        ends = np.cumsum([len(p) for p in pieces])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n  # n: the end of a pre-token
+        before[ends[:-1]] = -1
+        token = np.append(token, 0)
+        before = np.append(before, 0)
+        pair = np.append(self.rank_of(token[:-1], token[np.minimum(after, n)]), -1)
+        pair[ends - 1] = -1
+        live = np.ones(n, bool)  # places where a token starts
+        queue = RankQueue(self.size)
+        start = np.flatnonzero(pair >= 0)
+        start = start[np.argsort(pair[start], kind="stable")]
+        rank, begin = np.unique(pair[start], return_index=True)
+        for r, held in zip(rank.tolist(), np.split(start, begin[1:])):
+            queue.push(r, held.tolist())
+        buckets, push = queue.buckets, queue.push
+        while queue.top:
+            r, held = queue.pop()
+            i = np.array(held)
+            i = i[pair[i] == r]  # the others are stale
+            if not len(i):
                 continue
+            if len(i) > 1:
+                i = np.unique(i)
+                meets = after[i[:-1]] == i[1:]
+                if meets.any():
+                    run = np.arange(len(i))
+                    begin = np.concatenate([[True], ~meets])
+                    run -= np.maximum.accumulate(np.where(begin, run, 0))
+                    i = i[run % 2 == 0]
             j = after[i]
-            k = after[i] = after[j]
+            k = after[j]
+            after[i] = k
+            before[k] = i
+            token[i] = r
             pair[j] = -1
-            x = None
-            if k < n:
-                before[k] = i
-                end = after[k]
-                if end - i <= longest:
-                    x = get(piece[i:end])
+            live[j] = False
             p = before[i]
-            y = get(piece[p:k]) if p >= 0 and k - p <= longest else None
-            pair[i] = -1 if x is None else x
-            if p >= 0:
-                pair[p] = -1 if y is None else y
-            for r, i in ((x, i), (y, p)):
-                if r is not None:
-                    if r in buckets:
-                        heappush(buckets[r], i)
-                    else:
-                        buckets[r] = [i]
-                        low[r >> 8] |= bits[r & 255]
-                        top |= bits[r >> 8]
-        out, i = [], 0
-        while i < n:
-            out.append(get(piece[i : after[i]]))
-            i = after[i]
-        return out
+            one, two = np.flatnonzero(k < n), np.flatnonzero(p >= 0)
+            right = np.full(len(i), -1)
+            right[one] = self.rank_of(token[i[one]], token[k[one]])
+            pair[i] = right
+            p = p[two]
+            left = self.rank_of(token[p], token[i[two]])
+            pair[p] = left
+            new, at = np.concatenate([right, left]), np.concatenate([i, p])
+            good = new >= 0
+            for r, x in zip(new[good].tolist(), at[good].tolist()):
+                if r in buckets:
+                    buckets[r].append(x)
+                else:
+                    push(r, [x])
+        raw = token[:-1][live].astype("<u4").tobytes()
+        stop = 4 * np.cumsum(live)[ends - 1]
+        return [raw[s:e] for s, e in zip([0, *stop[:-1].tolist()], stop.tolist())]
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        ranks, merge, pieces = self.ranks, self.merge, self.pieces
-        out = []
+        get, pieces = self.whole.get, self.pieces
+        out: list[list[bytes | None]] = []
+        open_, at = [], []
         for t in texts:
-            ids: list[int] = []
+            ids = []
             for p in (t,) if t[1:].isalpha() and t[0] == " " else pieces(t):
                 b = p.encode()
-                r = ranks.get(b)
+                r = get(b)
                 if r is None:
-                    ids += merge(b)
-                else:
-                    ids.append(r)
-            out.append(np.array(ids, "<u4").tobytes())
-        return out
+                    open_.append(b)
+                    at.append((ids, len(ids)))
+                ids.append(r)
+            out.append(ids)
+        if open_:
+            for (ids, k), got in zip(at, self.merge(open_)):
+                ids[k] = got
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
     def decode(self, ids: list[int]) -> bytes:
         b = self.bytes

@@ -29,7 +29,7 @@ class ChunkCache:
         self.old: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, encode_many(list(MARKS))))
 
-    def encode(self, texts: Iterable[str], step: int = 1_000_000) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str], step: int = 3_000_000) -> Iterator[bytes]:
         """The ids of each text, in order; works on about ``step`` characters at a time."""
         group, size = [], 0
         for t in texts:
