@@ -13,19 +13,22 @@ Every sum over a pattern is pre-aggregated before the shuffle, so frequent conte
 
 Defined results: null and empty texts hold nothing; an empty table gives no rows; rows that repeat doc_id
 and text share their result; spans of different kinds may overlap; equal starts are listed by kind. Texts
-are read whole and in linear time.
+are read whole and in linear time. Ties: of two kinds for one string the better score wins, then the smaller
+kind; columns other than doc_id and text are not read (``redact`` returns them as they are, whatever their names).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import fresh, keep, table
 
 KINDS = ["email", "ip", "card", "phone"]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,7 +38,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 AT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?(?=[A-Za-z0-9])")
-NOT_DIGIT = re.compile(r"[^0-9]")
+NOT_DIGIT, DIGIT, NOT_SPACE, WORD = (re.compile(x) for x in (r"[^0-9]", r"[0-9]", r"[^ ]+", r"\S+"))
+MIN_DIGITS = 7
 ROUNDS, MIN_SEEDS, MIN_SCORE = 3, 5, 0.8
 
 
@@ -78,16 +82,38 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def identifiers(run: str, at: int) -> list[tuple[int, int]]:
+    """A run of digits with separators is one identifier up to 40 characters; a longer one lists several.
+
+    It is cut at its spaces; neighbours are joined until they hold MIN_DIGITS digits, and what is left at the end
+    goes to the last one. A run without spaces stays whole, whatever its length.
+    """
+    if len(run) <= 40 or " " not in run:
+        return [(at, at + len(run))]
+    out, first, digits = [], None, 0
+    for m in NOT_SPACE.finditer(run):
+        first = m.start() if first is None else first
+        digits += sum(map(str.isdigit, m.group()))
+        end = m.end()
+        if digits >= MIN_DIGITS:
+            out.append((at + first, at + end))
+            first, digits = None, 0
+    if first is not None:
+        out[-1:] = [(out[-1][0], at + end)]
+    return out
+
+
 def loose_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, shape, end) of identifier-like strings beside the base: shape 0 address, 1 digits."""
     out = []
     for m in AT.finditer(t):
         s, e = m.start(), DOMAIN.match(t, m.end())
-        while s and t[s - 1] in LOCAL and m.start() - s < 64:
+        while s and t[s - 1] in LOCAL:  # a sign ends each run, so no place is read twice
             s -= 1
         if s < m.start() and e:
             out.append((s, 0, e.end()))
-    out += [(m.start(), 1, m.end()) for m in LOOSE.finditer(t) if m.end() - m.start() <= 40]
+    for m in LOOSE.finditer(t):
+        out += [(s, 1, e) for s, e in identifiers(m.group(), m.start())]
     taken, free, k = [(s, e) for s, _, e in base], [], 0
     far = 0
     for s, shape, e in sorted(out):
@@ -99,10 +125,50 @@ def loose_spans(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return free
 
 
-def context(t: str, start: int) -> str:
-    """The two words before a place, lower-case, digits as 0; at most 48 characters back."""
-    left = t[max(0, start - 48) : start].lower().split()[-2:]
-    return re.sub(r"[0-9]", "0", " ".join(left))
+class Contexts:
+    """The two words before a place, lower-case, digits as 0, for places of one text in rising order.
+
+    Words of over 64 characters stand as their length and a checksum. Each word is read once, and of the word that
+    a place lies in only what the place before it has not read.
+    """
+
+    def __init__(self, t: str):
+        self.t, self.words, self.starts, self.held = t, None, [], {}
+        self.part = (-1, 0, 0)  # word, place, checksum up to it
+
+    def word(self, i: int) -> str:
+        w = self.held.get(i)
+        if w is None:
+            s, e = self.words[i]
+            w = self.held[i] = self.name(self.t[s:e]) if e - s <= 64 else f"{e - s}:{zlib.crc32(self.plain(self.t[s:e]).encode())}"
+        return w
+
+    @staticmethod
+    def plain(w: str) -> str:
+        return DIGIT.sub("0", w.lower())
+
+    name = plain
+
+    def before(self, place: int) -> str:
+        if self.words is None:
+            self.words = [m.span() for m in WORD.finditer(self.t)]
+            self.starts = [s for s, _ in self.words]
+        i = bisect_left(self.starts, place)  # words that start before the place
+        out = []
+        if i and self.words[i - 1][1] >= place:
+            i -= 1
+            s = self.words[i][0]
+            if place - s <= 64:
+                out.append(self.plain(self.t[s:place]))
+            else:
+                w, at, crc = self.part if self.part[0] == i and self.part[1] <= place else (i, s, 0)
+                crc = zlib.crc32(self.plain(self.t[at:place]).encode(), crc)
+                self.part = (i, place, crc)
+                out.append(f"{place - s}:{crc}")
+        while i and len(out) < 2:
+            i -= 1
+            out.insert(0, self.word(i))
+        return " ".join(out)
 
 
 def value(s: str) -> str:
@@ -123,8 +189,10 @@ def find(docs: DataFrame) -> DataFrame:
                 t = x.as_py() or ""
                 base = base_spans(t)
                 more = loose_spans(t, base)
+                at = Contexts(t)
+                before = {s: at.before(s) for s in sorted({s for s, _, _ in base} | {s for s, _, _ in more})}
                 for out, got in ((seeds, base), (loose, more)):
-                    out.append([dict(start=s, kind=k, end=e, pattern=context(t, s), value=value(t[s:e])) for s, k, e in got])
+                    out.append([dict(start=s, kind=k, end=e, pattern=before[s], value=value(t[s:e])) for s, k, e in got])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("pattern", pa.string()), ("value", pa.string())]))
             cols = [b.column(0), b.column(1), pa.array(seeds, kind), pa.array(loose, kind)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "rid", "seeds", "loose"])
@@ -165,7 +233,7 @@ def extract(docs: DataFrame) -> DataFrame:
     loose = loose.select("doc_id", "rid", "x.*").withColumnRenamed("kind", "shape")
     fit = (F.col("shape") == 0) == (F.col("kind") == 0)
     by_pattern = loose.join(good, "pattern").where(fit).select("doc_id", "rid", "start", "end", "kind", "score")
-    known = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value").where("kind in (0, 3)").distinct()
+    known = found.select(F.explode("seeds").alias("x")).select("x.kind", "x.value").distinct()
     by_value = loose.join(known, "value").where(fit).select("doc_id", "rid", "start", "end", "kind", F.lit(1.0).alias("score"))
     best = by_pattern.union(by_value).groupBy("doc_id", "rid", "start", "end").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
     best = best.select("doc_id", "rid", F.struct("start", (-F.col("b")["col2"]).cast("int").alias("kind"), "end").alias("s"))
@@ -177,10 +245,11 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind, as <EMAIL>; overlapping spans become one."""
-    spans = extract(docs).select(F.col("doc_id").alias("__of"), F.col("rid").alias("__r"), F.array_sort(F.concat("base", "more")).alias("__spans"))
-    spans = spans.where(F.size("__spans") > 0).dropDuplicates(["__of", "__r"])
-    df = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    df = df.join(spans, (F.col("__rid") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left").select(*docs.columns, "__spans")
+    of, own, rid, found = (fresh(docs.columns, c) for c in ("of_doc", "own_rid", "rid", "found_spans"))
+    spans = extract(docs).select(F.col("doc_id").alias(of), F.col("rid").alias(own), F.array_sort(F.concat("base", "more")).alias(found))
+    spans = spans.where(F.size(found) > 0).dropDuplicates([of, own])
+    df = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    df = df.join(spans, (F.col(rid) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(of)), "left").select(*docs.columns, found)
     names = docs.columns
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
