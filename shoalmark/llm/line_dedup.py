@@ -121,7 +121,7 @@ def places(docs: DataFrame) -> DataFrame:
     return named(docs).mapInArrow(run, "doc_id long, rid long, pos int, h long")
 
 
-def signatures(docs: DataFrame, seen_most: int = 500_000) -> DataFrame:
+def signatures(docs: DataFrame, seen_most: int = 100_000) -> DataFrame:
     """(id, k0 ..., f0 ...): hash, band keys and two-bit minima of the lines; a worker skips lines that it has seen."""
     longs = [*(f"k{b}" for b in range(BANDS)), *(f"f{k}" for k in range(FINE // 32))]
 

@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """Hashes of words; emptied when it holds ``limit`` of them."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
