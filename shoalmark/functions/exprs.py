@@ -89,7 +89,7 @@ def quantile_bin(position: Column, n: Column, bins: int) -> Column:
 
 
 def gender_code(category: Column, style: Column) -> Column:
-    female = F.coalesce(style.contains("Ladieswear"), F.lit(False)) | F.coalesce(category.isin(FEMALE_CATEGORIES), F.lit(False))
+    female = F.coalesce(F.lower(style).contains("ladieswear"), F.lit(False)) | F.coalesce(category.isin(FEMALE_CATEGORIES), F.lit(False))
     return F.when(female, 2).when(F.lower(style).contains("menswear"), 1).otherwise(0)
 
 

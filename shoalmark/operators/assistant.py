@@ -61,7 +61,7 @@ BUDGETS = [
     r"(?iU)\$\s*(\d+(?:\.\d+)?)\s*(?:or less|max|以内)",
     r"(?iU)(\d+(?:\.\d+)?)\s*(?:dollars|usd|以内|以下)",
 ]
-CHEAP, CHEAP_WORDS = 60.0, ["cheap", "affordable"]
+CHEAP, CHEAP_WORDS = 60.0, ["cheap", "affordable", "低预算", "便宜"]
 # Ranking weights and the penalty for what is out of stock.
 WEIGHTS = {"retrieval": 0.45, "intent_match": 0.15, "preference": 0.15, "price": 0.10, "inventory": 0.08, "margin": 0.04, "return": 0.03}
 PENALTY = 0.35

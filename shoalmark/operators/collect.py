@@ -35,19 +35,22 @@ def normal_scores(out: DataFrame) -> DataFrame:
 
 
 def trim(out: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Per rule: if its positive rate is under ``least``, keep its best ranks while the running rate is above.
+    """Per rule: if its positive rate is under ``least``, keep its ranks up to the last at which the running rate is above.
 
-    Only users with labels count then; a rule that never reaches the rate goes.
+    Ranks are average ranks of the score per user. Only users with labels count then; a rule that never reaches the
+    rate goes, and one that just reaches it keeps the ranks up to there.
     """
     lab = labels.select("uidx", "iidx").distinct().withColumn("label", F.lit(1))
     known = labels.select("uidx").distinct()
     df = out.join(known, "uidx", "left_semi").join(lab, ["uidx", "iidx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    w = Window.partitionBy("uidx", "method").orderBy(F.desc("score"), "iidx")
-    df = df.withColumn("rank", F.row_number().over(w))
+    w = Window.partitionBy("uidx", "method").orderBy(F.desc("score"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("uidx", "method", "score"))
+    df = df.withColumn("rank", F.ceil(F.rank().over(w) + (ties - 1) / 2))
     by = df.groupBy("method", "rank").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
     run = Window.partitionBy("method").orderBy("rank")
     by = by.withColumn("rate", F.sum("hits").over(run) / F.sum("n").over(run))
-    limit = by.groupBy("method").agg(F.max(F.when(F.col("rate") > least, F.col("rank"))).alias("limit"), (F.sum("hits") / F.sum("n")).alias("all"))
+    above, at = (F.max(F.when(c, F.col("rank"))) for c in (F.col("rate") > least, F.col("rate") == least))
+    limit = by.groupBy("method").agg(F.coalesce(above, at).alias("limit"), (F.sum("hits") / F.sum("n")).alias("all"))
     good = limit.where(F.col("all") >= least).select("method")
     cut = limit.where((F.col("all") < least) & F.col("limit").isNotNull())
     kept = df.join(F.broadcast(cut), "method").where(F.col("rank") <= F.col("limit")).select("uidx", "iidx", "method", "score")
@@ -60,11 +63,12 @@ def pivot(out: DataFrame, methods: list[str]) -> DataFrame:
 
 
 def collect(outputs: list[DataFrame], methods: list[str], labels: DataFrame | None = None, gone: DataFrame | None = None, least: float | None = None, norm: bool = False) -> DataFrame:
+    """Scores are normalised over all that a rule gives; only then out-of-stock items go."""
     out = union(outputs)
-    if gone is not None:
-        out = out.join(gone.select("iidx"), "iidx", "left_anti")
     if norm:
         out = normal_scores(out)
+    if gone is not None:
+        out = out.join(gone.select("iidx"), "iidx", "left_anti")
     if labels is not None and least:
         out = trim(out, labels, least)
     return pivot(out, methods)

@@ -16,11 +16,6 @@ from ..functions.exprs import dot
 # The decay curve a / sqrt(gap) + b * exp(-c * gap) - d, and the least kept value.
 DECAY_A, DECAY_B, DECAY_C, DECAY_D, DECAY_LEAST = 2.5e4, 1.5e5, 0.2, 1e3, 150
 COLUMNS = ["uidx", "iidx", "method", "score"]
-RULES = {
-    "small": ["OrderHistory_1", "OrderHistory_2", "OrderHistoryDecay_1", "OrderHistoryDecay_2", *(f"ItemPairRetrieve_{k}" for k in range(1, 5)), "UGTimeHistory_1", "UGTimeHistory_2", "UGSaleTrend_1", "TimeHistory_1", "TimeHistory_2", "TimeHistoryDecay_1", "TimeHistoryDecay_2", "SaleTrend_1"],
-    "large": ["ALS_1", "BPR_1", *(f"UGTimeHistory_{k}" for k in range(1, 4)), "OrderHistory_3", "OrderHistoryDecay_3", "TimeHistory_3", *(f"ItemCF_{k}" for k in range(1, 4)), "W2V_1", "ProNE_1", *(f"UGItemCF_{k}" for k in range(1, 7))],
-    "query": ["QueryMatch_recent", "QueryMatch_alltime"],
-}
 
 
 def named(df: DataFrame, method: str, score: Column) -> DataFrame:
@@ -144,9 +139,15 @@ def sale_trend(tx: DataFrame, users: DataFrame, days: int = 7, n: int = 50, t: f
     return to_users(log, users.select("uidx"), None, n, f"SaleTrend_{name}", F.col("trend"))
 
 
+def in_group(log: DataFrame, users: DataFrame, group: str) -> DataFrame:
+    """The log with its buyers' group; a buyer without one is in group 0."""
+    zero = F.lit(0).cast(users.schema[group].dataType)
+    return log.join(users, "uidx", "left").withColumn(group, F.coalesce(group, zero))
+
+
 def ug_time_history(win: DataFrame, users: DataFrame, group: str, n: int = 50, scale: bool = False, name: str = "1") -> DataFrame:
     own = users.select("uidx", group)
-    cnt = win.select("uidx", "iidx").distinct().join(own, "uidx").groupBy(group, "iidx").agg(F.count(F.lit(1)).alias("count"))
+    cnt = in_group(win.select("uidx", "iidx").distinct(), own, group).groupBy(group, "iidx").agg(F.count(F.lit(1)).alias("count"))
     cnt = top(cnt, n, [group], F.desc("count"), F.col("iidx"))
     score = F.col("count").cast("double")
     if scale:
@@ -157,7 +158,7 @@ def ug_time_history(win: DataFrame, users: DataFrame, group: str, n: int = 50, s
 
 def ug_sale_trend(tx: DataFrame, users: DataFrame, group: str, days: int = 7, n: int = 50, t: float = 0.8, name: str = "1") -> DataFrame:
     own = users.select("uidx", group)
-    log = window_counts(tx.join(own, "uidx"), days, [group, "iidx"]).where("previous > 0")
+    log = window_counts(in_group(tx, own, group), days, [group, "iidx"]).where("previous > 0")
     log = log.withColumn("trend", (F.col("recent") - F.col("previous")) / (F.col("previous") + 1)).where(F.col("trend") > t)
     log = top(log, n, [group], F.desc("recent"), F.desc("trend"), F.col("iidx"))
     return to_users(log, own, group, n, f"UGSaleTrend_{name}", F.col("trend"))

@@ -131,21 +131,21 @@ DOT = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::doub
 
 
 @query("rule_w2v_i2i", "tx", """with e as (select vec_id as iidx, embedding as v from embeddings), s as (select a.iidx, b.iidx as related, round(""" + DOT.format(a="a.v", b="b.v") + """, 6) as weight from e a join e b on a.iidx <> b.iidx),
- n as (select *, row_number() over (partition by iidx order by weight desc, related) as r from s), t as (select distinct uidx, iidx from tx where iidx < 40)
+ n as (select *, row_number() over (partition by iidx order by weight desc, related) as r from s), t as (select distinct uidx, iidx from tx)
  select uidx, related as iidx, 'W2V_1' as method, weight + 0.0 as score from t join n using (iidx) where r <= 10""")
 def w2v_i2i(s, d):
     e = vectors(s, d)
-    target = A.tx(s, d).where("iidx < 40")  # the catalogue's first forty items stand for a user's recent ones
+    target = A.tx(s, d)
     pairs = R.nearest(e.select("iidx", F.col("v").alias("a")), e.select(F.col("iidx").alias("related"), F.col("v").alias("b")), 10, "iidx", "related", skip_self=True)
     return out(R.neighbours(pairs, target))
 
 
-@query("rule_prone_u2i", "", """with e as (select vec_id as iidx, label, embedding as v from embeddings), p as (select iidx, v from e where iidx % 5 = 0),
+@query("rule_prone_u2i", "", """with e as (select vec_id as iidx, label, embedding as v from embeddings), p as (select iidx, v from e),
  s as (select e.iidx as uidx, p.iidx, round(""" + DOT.format(a="e.v", b="p.v") + """, 6) as weight from e cross join p)
  select uidx, iidx, 'ProNE_1' as method, weight + 0.0 as score from (select *, row_number() over (partition by uidx order by weight desc, iidx) as r from s) where r <= 20""")
 def prone_u2i(s, d):
     e = vectors(s, d)
-    got = R.nearest(e.select(F.col("iidx").alias("uidx"), F.col("v").alias("a")), e.where("iidx % 5 = 0").select("iidx", F.col("v").alias("b")), 20, "uidx", "iidx")
+    got = R.nearest(e.select(F.col("iidx").alias("uidx"), F.col("v").alias("a")), e.select("iidx", F.col("v").alias("b")), 20, "uidx", "iidx")
     return out(R.named(got, "ProNE_1", F.col("weight")))
 
 
