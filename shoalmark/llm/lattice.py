@@ -10,8 +10,8 @@ anew by ``steps`` rounds of expected counts over all distinct training words (fo
 with the start. A character outside the vocabulary is spelled by the byte pieces.
 
 Counts of words come from the whole corpus. A word's terms reach its documents in two ways: words that
-are frequent enough to be among at most ``hot`` go to the workers as one bounded table, all others are
-joined by word, where no key is frequent.
+are frequent enough to be among at most ``hot``, whatever their length, go to the workers as one table of at most
+HOT_BYTES, all others are joined by word, where no key is frequent.
 
 Defined results: null text is empty and scores its end alone; an empty table gives no rows; repeated rows
 are scored each and counted each; a null doc_id counts as the empty text for the fold, so it trains.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import keep, table
 
 VOCABULARY = "piece_bpe_32k.model"
-HOT, HOT_BYTES, WIDE, PIECE = 400_000, 64, 40, 4096
+HOT, HOT_BYTES, WIDE, PIECE = 400_000, 32 << 20, 40, 4096
 LN10 = math.log(10)
 
 
@@ -264,17 +264,16 @@ def score(docs: DataFrame, steps: int = 1, hot: int = HOT, path: str | None = No
 
     known = keep(words.mapInArrow(weigh, "word string, c_train long, c_all long, lp double"), "known")
 
-    # the lowest count at which at most ``hot`` words remain: counts in bins of an eighth of a doubling
+    # the lowest count at which at most ``hot`` words of HOT_BYTES together remain: counts in bins of an eighth of a doubling
     level = F.floor(F.log2("c_all") * 8).cast("int")
-    short = known.where(F.octet_length("word") <= HOT_BYTES)
-    bins = sorted(short.groupBy(level.alias("l")).count().collect(), reverse=True)
-    total, cut = 0, math.inf
-    for b, n in bins:
-        total += n
-        if total > hot:
+    bins = known.groupBy(level.alias("l")).agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).collect()
+    total, size, cut = 0, 0, math.inf
+    for b, n, length in sorted(map(tuple, bins), reverse=True):
+        total, size = total + n, size + length
+        if total > hot or size > HOT_BYTES:
             break
         cut = b
-    top = short.where(level >= F.lit(cut)).select("word", "c_train", "lp").toArrow() if cut < math.inf else None
+    top = known.where(level >= F.lit(cut)).select("word", "c_train", "lp").toArrow() if cut < math.inf else None
     sent = spark.sparkContext.broadcast(None if top is None else [c.to_pylist() if k == 0 else c.to_numpy() for k, c in enumerate(top.columns)])
     held_terms: dict = {}
 
