@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,10 @@ class Bpe:
         self.pieces = regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.bytes = {i: b for b, i in ranks.items()}
+        self.lengths = np.zeros(self.size, np.int64)
+        self.lengths[list(ranks.values())] = [len(b) for b in ranks]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.text = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         self.whole = {b: i.to_bytes(4, "little") for b, i in ranks.items()}  # pre-tokens that are one token
         # all ways to cut a token into two tokens, as left * size + right, in order
         cuts = {(ranks[b[:k]] * self.size + ranks[b[k:]]): r for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
@@ -160,9 +164,11 @@ class Bpe:
                 ids[k] = got
         return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
-    def decode(self, ids: list[int]) -> bytes:
-        b = self.bytes
-        return b"".join([b[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after another, as uint8."""
+        size = self.lengths[ids]
+        begin = self.starts[ids] - (np.cumsum(size) - size)
+        return self.text[np.repeat(begin, size) + np.arange(size.sum())]
 
 
 @lru_cache(maxsize=2)
@@ -209,13 +215,28 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     """Replace-or-add ``out`` (binary): the bytes that the ids stand for; null ids give no bytes."""
     rest = [c for c in docs.columns if c != out]
     schema = docs.select(*rest, F.lit(b"").alias(out)).schema
+    at = rest.index(ids)
+
+    def pieces(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        """The batch in runs of rows of about ``most`` ids."""
+        done = np.cumsum(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, end - start)
+            start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(_path(path))
         for b in batches:
-            col = b.column(rest.index(ids))
-            got = pa.array([coder.decode(x.as_py() or []) for x in col], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*rest, out])
+            for rows in pieces(b):
+                col = rows.column(at)
+                count = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                flat = col.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(coder.lengths[flat])])[np.concatenate([[0], np.cumsum(count)])]
+                data = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(coder.decode(flat))]
+                got = pa.Array.from_buffers(pa.binary(), rows.num_rows, data)
+                yield pa.RecordBatch.from_arrays([*rows.columns, got], names=[*rest, out])
 
     return docs.select(*rest).mapInArrow(run, schema)
 
