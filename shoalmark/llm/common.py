@@ -98,8 +98,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     e = keep(e, "cc0")
-    seen = None
-    for i in range(rounds):
+    for i in range(rounds + 1):
+        # done when every link leads to a root: no node has two links, and none that has one is led to
+        ends = e.select("v", F.lit(1).alias("up"), F.lit(0).alias("root")).union(e.select("m", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():
+            break
+        if i == rounds:
+            raise RuntimeError("the components did not settle")
         both = e.union(e.select("m", "v"))  # (node, neighbour)
         low = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
         large = both.where("m > v").join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m"))
@@ -108,12 +114,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m")
         was, e = e, keep(small.union(low.select("v", F.col("low").alias("m"))).distinct(), f"cc{i + 1}")
         drop(was)
-        mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-    else:
-        raise RuntimeError("the components did not settle")
     roots = e.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
     out = e.select(F.col("v").alias("node"), F.col("m").alias("root")).union(roots)
     out._shoalmark_path = e._shoalmark_path
