@@ -133,11 +133,12 @@ def signatures(docs: DataFrame, width: int, coords: int = COORDS) -> DataFrame:
 
 def prefix_lists(classes: DataFrame, match: int = MATCH) -> DataFrame:
     """(key, id, weight): the postings of the rarest coordinates, without lists of one."""
-    posts = classes.select("id", F.posexplode("sig").alias("k", "v")).select(
-        "id", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key")
+    posts = classes.select("id", F.col("n_shingles").alias("size"), F.posexplode("sig").alias("k", "v")).select(
+        "id", "size", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key")
     )
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return simjoin.prefix(posts.join(shared, "key"), ["id"], F.max(F.lit(match))).select("key", "id", F.col("sum").alias("weight"), F.lit(0).cast("long").alias("e"), F.lit(0).alias("k"))
+    cut = simjoin.prefix(posts.join(shared, "key"), ["id", "size"], F.max(F.lit(match)))
+    return cut.select("key", "id", F.col("sum").alias("weight"), F.lit(0).cast("long").alias("e"), F.lit(0).alias("k"), "size")
 
 
 def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH) -> DataFrame | None:
@@ -147,7 +148,7 @@ def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, matc
     def fetch(ids: DataFrame) -> DataFrame:
         one = classes.join(ids, "id", "left_semi").select("id", "rep", "mark")
         both = texts.join(one, "rep").where(F.xxhash64("text") == F.col("mark"))
-        return keep(both.groupBy("id").agg(F.min("text").alias("text")), "texts")
+        return both.groupBy("id").agg(F.min("text").alias("text"))
 
     small = classes.select("id", "sig", "fine", "n_shingles")
 

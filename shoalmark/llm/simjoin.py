@@ -27,6 +27,7 @@ Rows made: at most ``few`` pairs a posting in short lists, one star row a postin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,8 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, las
     state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
     middle = state.where(F.col("n").between(PAIRS + 1, few)) if first else None
     # short lists with the same members are one list
-    short = state.where(F.col("n") <= (PAIRS if first else few)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k"))).alias("m")).select("m").distinct()
-    fits = f"y -> x.root <> y.root and x.e + y.e <= {2 * up} * least(x.k, y.k)"
+    short = state.where(F.col("n") <= (PAIRS if first else few)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k", "size"))).alias("m")).select("m").distinct()
+    fits = f"y -> x.root <> y.root and x.e + y.e <= {2 * up} * least(x.k, y.k) and 100 * least(x.size, y.size) >= {up - 100} * greatest(x.size, y.size)"
     short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), {fits})")).alias("y"))
     short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
     if last:
@@ -80,7 +81,7 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, las
     own = (state.where(F.col("n") > PAIRS) if first else long).where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
     star = star.union(own)
     pairs = keep(short.union(star).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("weight").alias("weight")), "pairs")
-    wait = None if middle is None else keep(middle.select("key", "id", "weight", "e", "k"), "middle")
+    wait = None if middle is None else keep(middle.select("key", "id", "weight", "e", "k", "size"), "middle")
     drop(state)
     return pairs, wait
 
@@ -137,30 +138,34 @@ def _deltas(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     # |dx and dy| elements in dy, so e(y) >= (up - down) |dx and dy| - down |c|
     e, c = up * F.size("delta") - down * F.col("size"), down * F.col("centre")
     need = F.when(F.col("near"), F.ceil((e + c + 1) / (2 * up))).otherwise(F.ceil((e - c) / (up + down))).cast("int")
-    posts = star.select("b", "id", "root", F.greatest(F.lit(1), need).alias("need"), "weight", e.alias("e"), F.explode("delta").alias("t")).withColumn("key", F.xxhash64("b", "t"))
+    posts = star.select("b", "id", "root", F.greatest(F.lit(1), need).alias("need"), "weight", e.alias("e"), "size", F.explode("delta").alias("t")).withColumn("key", F.xxhash64("b", "t"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
-    return prefix(posts.join(shared, "key"), ["b", "id", "weight", "e"], F.max("need")).select("key", "id", "weight", "e", "k")
+    return prefix(posts.join(shared, "key"), ["b", "id", "weight", "e", "size"], F.max("need")).select("key", "id", "weight", "e", "k", "size")
 
 
 def links(
     lists: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Shingler, percent: int,
     few: int = FEW, sieve: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Roots (node, root) of the members of ``lists`` (key, id, weight; e and k are 0) that have links.
+    """Roots (node, root) of the members of ``lists`` (key, id, weight, size; e and k are 0) that have links.
 
-    ``texts`` gives (id, text) for a table of ids; ``shingles`` the sorted distinct elements of a text;
+    ``size`` is that of a member's set, or 0 for all. ``texts`` gives (id, text) for a table of ids; ``shingles`` the sorted distinct elements of a text;
     ``sieve`` may drop pairs (a, b, star, weight) of short lists before texts are fetched.
     """
-    held = texts(lists.select("id").distinct())
-    roots = None
+    roots = held = None
     for i in range(ROUNDS + 1):
         pairs, wait = _pairs(lists, roots, few * GROWTH**i, i == 0, i == ROUNDS, 100 + percent)
         drop(lists)
         if pairs.isEmpty():
+            drop(wait)
             break
         if sieve is not None:
             was, pairs = pairs, keep(sieve(pairs.where("star = 0")).union(pairs.where("star = 1")), "sieved")
             drop(was)
+        if held is None:
+            # later rounds only meet members of stars, which are all in a pair, and of lists that wait
+            ends = [pairs.select(F.col(c).alias("id")) for c in "ab"] + ([] if wait is None else [wait.select("id")])
+            held = keep(texts(reduce(DataFrame.union, ends).distinct()), "texts")
         seen = keep(compared(pairs, held, shingles, percent), "seen")
         drop(pairs)
         new = seen.where("near").select("a", "b")
@@ -169,5 +174,5 @@ def links(
         lists = _deltas(seen, roots, percent)
         lists = keep(lists if wait is None else lists.union(wait), "lists")
         drop(seen, wait)
-    drop(lists, held, pairs, wait)
+    drop(lists, held, pairs)
     return roots

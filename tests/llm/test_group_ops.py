@@ -124,7 +124,7 @@ def test_stars_and_deltas_are_exact(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(40)}"
         rows.append(w)
     sets = [frozenset(simjoin_words(r)) for r in rows]
-    lists = spark.createDataFrame([(1, k, 1000 - k, 0, 0) for k in range(len(rows))], "key long, id long, weight long, e long, k int")
+    lists = spark.createDataFrame([(1, k, 1000 - k, 0, 0, 0) for k in range(len(rows))], "key long, id long, weight long, e long, k int, size long")
     texts = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "id long, text string")
     for few in (8, 64, 1000):
         got = simjoin.links(lists, lambda ids: texts.join(ids, "id", "left_semi"), lambda t: minhash.shingles(t, 1), 80, few=few)
