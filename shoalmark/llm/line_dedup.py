@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simjoin
@@ -178,11 +178,10 @@ def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     fine = keep(sigs.join(weight.select("id"), "id", "left_semi").groupBy("id").agg(F.array(*(F.min(c) for c in longs)).alias("fine")), "fine")
     drop(sigs, weight, *lists)
 
-    def sieve(pairs: DataFrame) -> DataFrame:
-        a, b = (fine.select(F.col("id").alias(s), F.col("fine").alias(f"fine_{s}")) for s in "ab")
-        return pairs.join(a, "a").join(b, "b").where(agree("fine_a", "fine_b", FINE // 32) >= AGREE).select(*pairs.columns)
+    def alike(a: Column, b: Column) -> Column:
+        return agree(a, b, FINE // 32) >= AGREE
 
-    out = simjoin.links(full, lambda ids: texts_of(docs, ids), shingles, percent, sieve=sieve)
+    out = simjoin.links(full, lambda ids: texts_of(docs, ids), shingles, percent, fine.withColumnRenamed("fine", "sketch"), alike)
     drop(fine)
     return out
 

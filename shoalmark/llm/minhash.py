@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simjoin
@@ -98,9 +98,9 @@ def two_bits(minima: np.ndarray) -> np.ndarray:
     return (x << np.arange(0, 64, 2, dtype=np.uint64)).sum(-1, dtype=np.uint64).view(np.int64)
 
 
-def agree(a: str, b: str, longs: int):
+def agree(a: Column, b: Column, longs: int) -> Column:
     """How many two-bit fields of two arrays of longs are equal."""
-    apart = [F.expr(f"{a}[{i}] ^ {b}[{i}]") for i in range(longs)]
+    apart = [a[i].bitwiseXOR(b[i]) for i in range(longs)]
     odd = F.lit(0x5555555555555555)
     return 32 * longs - sum((F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(odd)) for x in apart), F.lit(0))
 
@@ -150,18 +150,14 @@ def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, matc
         both = texts.join(one, "rep").where(F.xxhash64("text") == F.col("mark"))
         return both.groupBy("id").agg(F.min("text").alias("text"))
 
-    small = classes.select("id", "sig", "fine", "n_shingles")
-
-    def sieve(pairs: DataFrame) -> DataFrame:
-        """Count collisions on the signatures; sizes must allow the similarity."""
-        a, b = (small.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("fine").alias(f"fine_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in "ab")
-        x = pairs.join(a, "a").join(b, "b")
-        same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-        fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return x.where(fit & (agree("fine_a", "fine_b", FINE // 32) >= AGREE) & (same >= match)).select(*pairs.columns)
+    def alike(a: Column, b: Column) -> Column:
+        """Count collisions on the signatures."""
+        same = F.aggregate(F.zip_with(a["sig"], b["sig"], lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+        return (agree(a["fine"], b["fine"], FINE // 32) >= AGREE) & (same >= match)
 
+    sketches = classes.select("id", F.struct("sig", "fine").alias("sketch"))
     lists = keep(prefix_lists(classes, match), "prefix")
-    return simjoin.links(lists, fetch, lambda t: shingles(t, width), percent, sieve=sieve)
+    return simjoin.links(lists, fetch, lambda t: shingles(t, width), percent, sketches, alike)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, match: int = MATCH) -> DataFrame:

@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop, keep
@@ -40,6 +40,7 @@ PAIRS, FEW, GROWTH, ROUNDS = 8, 64, 4, 6
 IN, OUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 Shingler = Callable[[str], np.ndarray]
+Alike = Callable[[Column, Column], Column]
 
 
 def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
@@ -53,7 +54,9 @@ def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
     return per.select(*owner, "sum", "k", "x.key")
 
 
-def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int) -> tuple[DataFrame, DataFrame | None]:
+def _pairs(
+    lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int, sketches: DataFrame, alike: Alike
+) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a. Beside it the lists that wait for the next round."""
     state = lists.withColumn("root", F.col("id")) if roots is None else (
         lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -61,14 +64,27 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, las
     span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "id")).alias("top")).where("lo < hi")
     state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
     middle = state.where(F.col("n").between(PAIRS + 1, few)) if first else None
+    # the sketches sit in the lists, so a pair that they rule out is never a row
+    short = state.where(F.col("n") <= (PAIRS if first else few)).join(sketches, "id")
     # short lists with the same members are one list
-    short = state.where(F.col("n") <= (PAIRS if first else few)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k", "size"))).alias("m")).select("m").distinct()
-    fits = f"y -> x.root <> y.root and x.e + y.e <= {2 * up} * least(x.k, y.k) and 100 * least(x.size, y.size) >= {up - 100} * greatest(x.size, y.size)"
-    short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.expr(f"filter(slice(m, i + 2, size(m)), {fits})")).alias("y"))
+    short = short.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k", "size", "sketch"))).alias("m")).select("m").distinct()
+    x = F.col("x")
+
+    def fits(y: Column) -> Column:
+        sums = (x["root"] != y["root"]) & (x["e"] + y["e"] <= 2 * up * F.least(x["k"], y["k"]))
+        return sums & (100 * F.least(x["size"], y["size"]) >= (up - 100) * F.greatest(x["size"], y["size"])) & alike(x["sketch"], y["sketch"])
+
+    short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.filter(F.expr("slice(m, i + 2, size(m))"), fits)).alias("y"))
     short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
+
+    def sieved(pairs: DataFrame) -> DataFrame:
+        p, q = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        return pairs.join(p, "a").join(q, "b").where(alike(F.col("sketch_a"), F.col("sketch_b"))).select(*pairs.columns)
+
     if last:
         other = state.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
         star = state.where(F.col("n") > few).join(other, "key").where("root < other").select(F.col("id").alias("a"), "b", F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
+        star = sieved(star.distinct())
         pairs = keep(short.union(star).distinct(), "pairs")
         drop(state)
         return pairs, None
@@ -79,7 +95,7 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, few: int, first: bool, las
     star = long.join(centre, "key").where("id <> centre")
     star = star.select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"), "weight")
     own = (state.where(F.col("n") > PAIRS) if first else long).where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
-    star = star.union(own)
+    star = star.union(sieved(own.groupBy("a", "b", "star").agg(F.max("weight").alias("weight"))))
     pairs = keep(short.union(star).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("weight").alias("weight")), "pairs")
     wait = None if middle is None else keep(middle.select("key", "id", "weight", "e", "k", "size"), "middle")
     drop(state)
@@ -145,23 +161,20 @@ def _deltas(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def links(
     lists: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Shingler, percent: int,
-    few: int = FEW, sieve: Callable[[DataFrame], DataFrame] | None = None,
+    sketches: DataFrame, alike: Alike, few: int = FEW,
 ) -> DataFrame | None:
     """Roots (node, root) of the members of ``lists`` (key, id, weight, size; e and k are 0) that have links.
 
     ``size`` is that of a member's set, or 0 for all. ``texts`` gives (id, text) for a table of ids; ``shingles`` the sorted distinct elements of a text;
-    ``sieve`` may drop pairs (a, b, star, weight) of short lists before texts are fetched.
+    ``sketches`` has (id, sketch) of each member; pairs whose sketches are not ``alike`` are not looked at, but for stars.
     """
     roots = held = None
     for i in range(ROUNDS + 1):
-        pairs, wait = _pairs(lists, roots, few * GROWTH**i, i == 0, i == ROUNDS, 100 + percent)
+        pairs, wait = _pairs(lists, roots, few * GROWTH**i, i == 0, i == ROUNDS, 100 + percent, sketches, alike)
         drop(lists)
         if pairs.isEmpty():
             drop(wait)
             break
-        if sieve is not None:
-            was, pairs = pairs, keep(sieve(pairs.where("star = 0")).union(pairs.where("star = 1")), "sieved")
-            drop(was)
         if held is None:
             # later rounds only meet members of stars, which are all in a pair, and of lists that wait
             ends = [pairs.select(F.col(c).alias("id")) for c in "ab"] + ([] if wait is None else [wait.select("id")])
