@@ -181,7 +181,7 @@ def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     def alike(a: Column, b: Column) -> Column:
         return agree(a, b, FINE // 32) >= AGREE
 
-    out = simjoin.links(full, lambda ids: texts_of(docs, ids), shingles, percent, fine.withColumnRenamed("fine", "sketch"), alike)
+    out = simjoin.links(full, lambda ids: texts_of(docs, ids), shingles, percent, sketches=fine.withColumnRenamed("fine", "sketch"), alike=alike)
     drop(fine)
     return out
 

@@ -157,7 +157,7 @@ def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, matc
 
     sketches = classes.select("id", F.struct("sig", "fine").alias("sketch"))
     lists = keep(prefix_lists(classes, match), "prefix")
-    return simjoin.links(lists, fetch, lambda t: shingles(t, width), percent, sketches, alike)
+    return simjoin.links(lists, fetch, lambda t: shingles(t, width), percent, sketches=sketches, alike=alike)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, match: int = MATCH) -> DataFrame:

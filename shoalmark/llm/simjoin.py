@@ -55,7 +55,7 @@ def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
 
 
 def _pairs(
-    lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int, sketches: DataFrame, alike: Alike
+    lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int, sketches: DataFrame | None, alike: Alike | None
 ) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a. Beside it the lists that wait for the next round."""
     state = lists.withColumn("root", F.col("id")) if roots is None else (
@@ -65,19 +65,23 @@ def _pairs(
     state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
     middle = state.where(F.col("n").between(PAIRS + 1, few)) if first else None
     # the sketches sit in the lists, so a pair that they rule out is never a row
-    short = state.where(F.col("n") <= (PAIRS if first else few)).join(sketches, "id")
+    short = state.where(F.col("n") <= (PAIRS if first else few))
+    short = short.withColumn("sketch", F.lit(0)) if sketches is None else short.join(sketches, "id")
     # short lists with the same members are one list
     short = short.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k", "size", "sketch"))).alias("m")).select("m").distinct()
     x = F.col("x")
 
     def fits(y: Column) -> Column:
         sums = (x["root"] != y["root"]) & (x["e"] + y["e"] <= 2 * up * F.least(x["k"], y["k"]))
-        return sums & (100 * F.least(x["size"], y["size"]) >= (up - 100) * F.greatest(x["size"], y["size"])) & alike(x["sketch"], y["sketch"])
+        sums &= 100 * F.least(x["size"], y["size"]) >= (up - 100) * F.greatest(x["size"], y["size"])
+        return sums if alike is None else sums & alike(x["sketch"], y["sketch"])
 
     short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.filter(F.expr("slice(m, i + 2, size(m))"), fits)).alias("y"))
     short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
 
     def sieved(pairs: DataFrame) -> DataFrame:
+        if sketches is None or alike is None:
+            return pairs
         p, q = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
         return pairs.join(p, "a").join(q, "b").where(alike(F.col("sketch_a"), F.col("sketch_b"))).select(*pairs.columns)
 
@@ -161,7 +165,7 @@ def _deltas(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def links(
     lists: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Shingler, percent: int,
-    sketches: DataFrame, alike: Alike, few: int = FEW,
+    few: int = FEW, sketches: DataFrame | None = None, alike: Alike | None = None,
 ) -> DataFrame | None:
     """Roots (node, root) of the members of ``lists`` (key, id, weight, size; e and k are 0) that have links.
 
