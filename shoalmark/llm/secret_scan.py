@@ -1,12 +1,14 @@
 """Secrets in texts: fixed shapes and character Markov models (operator 3), in DataFrame functions only.
 
 Base shapes are found by regular expressions; places come from splitting the text by the same expression,
-so they are code points. Beyond them, long tokens of letters, digits and +/_=- that hold both a letter
-and a digit are scored by two first-order character models, one of random strings and one of ordinary
+so they are code points. Beyond them, tokens of 12 and more of letters, digits and +/_=- that hold a letter (digits
+alone are numbers) are scored by two first-order character models, one of random strings and one of ordinary
 identifiers: the sum of the logarithms of their transition ratios. Labelled samples train both: random
 are ``samples`` generated strings in each of three alphabets and the values of the base finds, ordinary
 are all long words without digits in the corpus. Tokens at or above ``bits`` are secrets of kind ``random``
 unless they overlap a base find.
+A secret of letters alone is itself counted as an ordinary word; in a corpus of a few hundred documents that is
+enough to hide it. A token that overlaps a base find anywhere is left out whole.
 
 Defined results: null and empty texts have no finds; an empty table gives no rows; repeated rows are
 scanned each. Texts are scanned whole.
@@ -31,26 +33,51 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]{16,}", None),
     ("hex", r"[0-9a-f]{24,}", None),
 ]
-TOKEN, ORDINARY = r"[A-Za-z0-9+/_=-]{20,}", r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{11,}"
+TOKEN, ORDINARY = r"[A-Za-z0-9+/_=-]{12,}", r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{11,}"
 BITS, SAMPLES, CODES, BACKOFF = 10.0, 2048, 128, 20.0
 
 
-def spans(text: Column, found: Column, pattern: str, kind: int, test=None) -> Column:
-    """array<struct<start, kind, end>> of the matches ``found`` of ``pattern`` in ``text``."""
-    parts = F.split(text, pattern, -1)
-    one = F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"))
-    none = F.slice(F.array(one), 1, 0)
+def running(parts: Column) -> Column:
+    """array<struct<start, end, ok>> of matches from an array<struct<gap, len, ok>>, in blocks of about the root of their number.
+
+    An array is copied whenever an element is put behind it, so one pass would take the square of the number.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
+
+    def block(one: Column) -> Column:
+        # matches of one block, from 0 on, and where the block ends
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["gap"]
+            new = F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["ok"].alias("ok")))
+            return F.struct((start + x["len"]).alias("at"), F.concat(s["out"], new).alias("out"))
+
+        return F.aggregate(one, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shift(s: Column, x: Column) -> Column:
+        return F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["from"], F.array(s["at"])).alias("from"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        new = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        out = F.concat(s["out"], new) if test is None else F.when(test(x["m"]), F.concat(s["out"], new)).otherwise(s["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def whole(p: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda i: block(F.slice(p, i * size + 1, size)))
+        first = lambda v: F.aggregate(v, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from")), shift, lambda s: s["from"])
+        moved = lambda x, d: F.transform(x["out"], lambda y: F.struct((y["start"] + d).alias("start"), (y["end"] + d).alias("end"), y["ok"].alias("ok")))
+        return let(blocks, lambda v: F.flatten(F.zip_with(v, first(v), moved)))
 
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none)
+    return let(parts, lambda p: let(F.ceil(F.sqrt(F.size(p))).cast("int"), lambda n: F.when(F.size(p) > 0, whole(p, n)).otherwise(none)))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans(text: Column, found: Column, pattern: str, kind: int, test=None) -> Column:
+    """array<struct<start, kind, end>> of the matches ``found`` of ``pattern`` in ``text``."""
+    ok = (lambda m: F.lit(True)) if test is None else test
+    one = lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), ok(m).alias("ok"))
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, one)
+    out = F.transform(F.filter(running(pairs), lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(found) > 0, out).otherwise(none)
 
 
 def listed(arr: Column, names: list[str]) -> Column:
@@ -105,10 +132,10 @@ def scan(docs: DataFrame, bits: float = BITS) -> DataFrame:
     llr = F.from_json(F.lit(json.dumps(model(docs))), "array<double>")
     df = docs.withColumns({k: F.regexp_extract_all("text", F.lit(p), 0) for k, p, _ in KINDS} | {"tok": F.regexp_extract_all("text", F.lit(TOKEN), 0)})
     parts = [spans(F.col("text"), F.col(k), p, i, t) for i, (k, p, t) in enumerate(KINDS)]
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     df = df.withColumn("base", F.concat(*parts))
-    rest = spans(F.col("text"), F.col("tok"), TOKEN, 3, mixed)
-    some = F.exists("tok", mixed)
+    worded = lambda m: m.rlike("[A-Za-z]")
+    rest = spans(F.col("text"), F.col("tok"), TOKEN, 3, worded)
+    some = F.exists("tok", worded)
     df = df.withColumn("cand", F.when(some, rest).otherwise(F.slice(F.col("base"), 1, 0)))
     clear = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     df = df.select("doc_id", "base", F.when(F.size("cand") > 0, F.transform(clear, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.substring("text", c["start"] + 1, c["end"] - c["start"]).alias("s")))).alias("cand"))
