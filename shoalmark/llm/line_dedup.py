@@ -173,7 +173,7 @@ def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         posts = posts.union(more)
     n = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = keep(posts.join(n, "key").groupBy("id").agg(F.sum("n").alias("weight")), "weight")
-    full = keep(posts.join(weight, "id").select("key", "id", "weight", F.lit(0).cast("long").alias("e"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("size")), "lists")
+    full = keep(posts.join(weight, "id").select("key", "id", "weight", F.lit(0).cast("long").alias("size")), "lists")
     longs = [f"f{k}" for k in range(FINE // 32)]
     fine = keep(sigs.join(weight.select("id"), "id", "left_semi").groupBy("id").agg(F.array(*(F.min(c) for c in longs)).alias("fine")), "fine")
     drop(sigs, weight, *lists)

@@ -138,7 +138,7 @@ def prefix_lists(classes: DataFrame, match: int = MATCH) -> DataFrame:
     )
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = simjoin.prefix(posts.join(shared, "key"), ["id", "size"], F.max(F.lit(match)))
-    return cut.select("key", "id", F.col("sum").alias("weight"), F.lit(0).cast("long").alias("e"), F.lit(0).alias("k"), "size")
+    return cut.select("key", "id", F.col("sum").alias("weight"), "size")
 
 
 def roots_of(docs: DataFrame, classes: DataFrame, width: int, percent: int, match: int = MATCH) -> DataFrame | None:

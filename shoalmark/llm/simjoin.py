@@ -1,11 +1,9 @@
 """Links of similar sets from candidate lists, without all pairs of a list (operators 5 and 6).
 
-A list is a key with the members that hold it; any pair worth a look shares a list. Each round:
+A list is a key with the members that hold it; any pair worth a look shares a list. Two steps:
 
-* lists whose members are all connected already are dropped;
-* a list of at most ``few`` members (GROWTH times as many in each further round, which has fewer postings) gives
-  its pairs; but in the first round one of more than PAIRS members only compares all with its heaviest, which
-  connects most, and gives the pairs that are still unconnected in the second;
+* a list of at most PAIRS members gives its pairs; one of at most ``few`` only compares all with its heaviest,
+  which connects most, and gives the pairs that are still unconnected in the second step;
 * a longer one gives a star: each member is compared with the list's heaviest member and with its centre c only,
   the heaviest of this and neighbouring lists. The latter also
   yields the member's delta, the elements that x and c do not share, dx.
@@ -13,19 +11,19 @@ A list is a key with the members that hold it; any pair worth a look shares a li
 What a star leaves open is settled exactly by deltas. With D(x, y) the number of elements that x and y do
 not share, the similarity is at least p % if and only if (100 + p) D(x, y) <= (100 - p) (|x| + |y|), and
 D(x, y) = |dx| + |dy| - 2 |dx and dy|. Let e(x) = (100 + p) |dx| - (100 - p) |x|; then x and y are similar if
-and only if |dx and dy| >= (e(x) + e(y)) / (2 (100 + p)). The centre has the least e of all, so a pair that
-needs no common delta element is linked to the centre on both sides. Every other pair must share delta
-elements: members are posted under (c, element), elements that no other member of another component holds
-are dropped, a member with fewer than it needs goes, and of the rest only the rarest prefix that must hold a
-common one is posted; a pair is looked at only if what it needs is not more than either has. These postings are the lists of the next round. A sub-list leaves out its centre, so
-lists shrink from round to round (the centre is always the heaviest member, so members meet few centres); should any be left after ROUNDS rounds, their pairs are compared one by one.
-
-Rows made: at most ``few`` pairs a posting in short lists, one star row a posting and a delta per distinct
-(member, centre), all linear in the postings; no list is met pair by pair.
+and only if |dx and dy| >= (e(x) + e(y)) / (2 (100 + p)). The members of a centre are dealt by size into blocks of
+about MEMBERS; blocks meet in twos, where sizes allow a link and not both are connected to the centre already. In a
+meeting all |dx and dy| are counted at once (rare elements by their holders, frequent ones by a product of
+matrices), and only links that connect what is not yet connected are rows.
+
+Rows made: at most ``few`` pairs a posting in short lists, one star row a posting, and of the members of a centre
+one for each block that its own meets. The work of a centre still is the square of its members, in numpy on blocks:
+pairs around the threshold are told apart by counting only, but they are neither rows nor fetched as texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -36,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import components, drop, keep
 
-PAIRS, FEW, GROWTH, ROUNDS = 8, 64, 4, 6
+PAIRS, FEW = 8, 64
+#: Members and delta elements of a block, about; pairs of holders up to which an element is counted by them.
+MEMBERS, ELEMENTS, SPARSE = 1024, 400_000, 1_000
 IN, OUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 Shingler = Callable[[str], np.ndarray]
@@ -55,29 +55,33 @@ def prefix(posts: DataFrame, owner: list[str], need) -> DataFrame:
 
 
 def _pairs(
-    lists: DataFrame, roots: DataFrame | None, few: int, first: bool, last: bool, up: int, sketches: DataFrame | None, alike: Alike | None
+    lists: DataFrame, roots: DataFrame | None, few: int, up: int, sketches: DataFrame | None, alike: Alike | None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(a, b, star, weight): the comparisons of a round; in a star b is the centre and weight that of a. Beside it the lists that wait for the next round."""
-    state = lists.withColumn("root", F.col("id")) if roots is None else (
-        lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """(a, b, star): the comparisons of a step; in a star b is the centre. Beside it the lists that wait for the second step."""
+    first = roots is None
+    state = lists.select("key", "id", "weight", "size")
+    state = state.withColumn("root", F.col("id")) if first else (
+        state.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
     span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "id")).alias("top")).where("lo < hi")
     state = keep(state.join(span.select("key", "n", "top"), "key"), "state")
-    middle = state.where(F.col("n").between(PAIRS + 1, few)) if first else None
     # the sketches sit in the lists, so a pair that they rule out is never a row
     short = state.where(F.col("n") <= (PAIRS if first else few))
     short = short.withColumn("sketch", F.lit(0)) if sketches is None else short.join(sketches, "id")
     # short lists with the same members are one list
-    short = short.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "e", "k", "size", "sketch"))).alias("m")).select("m").distinct()
+    short = short.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "root", "size", "sketch"))).alias("m")).select("m").distinct()
     x = F.col("x")
 
     def fits(y: Column) -> Column:
-        sums = (x["root"] != y["root"]) & (x["e"] + y["e"] <= 2 * up * F.least(x["k"], y["k"]))
-        sums &= 100 * F.least(x["size"], y["size"]) >= (up - 100) * F.greatest(x["size"], y["size"])
+        sums = (x["root"] != y["root"]) & (100 * F.least(x["size"], y["size"]) >= (up - 100) * F.greatest(x["size"], y["size"]))
         return sums if alike is None else sums & alike(x["sketch"], y["sketch"])
 
     short = short.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.filter(F.expr("slice(m, i + 2, size(m))"), fits)).alias("y"))
-    short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
+    short = short.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("star"))
+    if not first:
+        pairs = keep(short.distinct(), "pairs")
+        drop(state)
+        return pairs, None
 
     def sieved(pairs: DataFrame) -> DataFrame:
         if sketches is None or alike is None:
@@ -85,40 +89,31 @@ def _pairs(
         p, q = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
         return pairs.join(p, "a").join(q, "b").where(alike(F.col("sketch_a"), F.col("sketch_b"))).select(*pairs.columns)
 
-    if last:
-        other = state.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
-        star = state.where(F.col("n") > few).join(other, "key").where("root < other").select(F.col("id").alias("a"), "b", F.lit(0).alias("star"), F.lit(0).cast("long").alias("weight"))
-        star = sieved(star.distinct())
-        pairs = keep(short.union(star).distinct(), "pairs")
-        drop(state)
-        return pairs, None
     # lists of one family share a centre: that which most of a list's members meet as the heaviest of all their lists
     long = state.where(F.col("n") > few)
     best = long.groupBy("id").agg(F.max("top")["id"].alias("best"))
     centre = long.join(best, "id").groupBy("key").agg(F.mode("best", True).alias("centre"))
-    star = long.join(centre, "key").where("id <> centre")
-    star = star.select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"), "weight")
-    own = (state.where(F.col("n") > PAIRS) if first else long).where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"), "weight")
-    star = star.union(sieved(own.groupBy("a", "b", "star").agg(F.max("weight").alias("weight"))))
-    pairs = keep(short.union(star).groupBy("a", "b").agg(F.max("star").alias("star"), F.max("weight").alias("weight")), "pairs")
-    wait = None if middle is None else keep(middle.select("key", "id", "weight", "e", "k", "size"), "middle")
+    star = long.join(centre, "key").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), F.lit(1).alias("star"))
+    own = state.where(F.col("n") > PAIRS).where(F.col("id") != F.col("top.id")).select(F.col("id").alias("a"), F.col("top.id").alias("b"), F.lit(0).alias("star"))
+    pairs = keep(short.union(star).union(sieved(own.distinct())).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    wait = keep(state.where(F.col("n").between(PAIRS + 1, few)).select("key", "id", "weight", "size"), "middle")
     drop(state)
     return pairs, wait
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: int) -> DataFrame:
-    """(a, b, star, weight, near, size, centre, delta): near if the full sets are similar enough; the rest for a star."""
+    """(a, b, star, near, size, delta): near if the full sets are similar enough; a's size and delta for a star."""
     one = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "star", "weight", "text_a", "text_b")
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "star", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y = None, np.zeros(0, np.uint64)
         for b in batches:
             star = b.column(2).to_pylist()
             at = 0
-            near, size, centre, delta, held = [], [], [], [], 0
+            near, size, delta, held = [], [], [], 0
             for i in range(b.num_rows):
-                s, t = b.column(4)[i].as_py(), b.column(5)[i].as_py()
+                s, t = b.column(3)[i].as_py(), b.column(4)[i].as_py()
                 x = shingles(s)
                 if t != last:
                     last, y = t, shingles(t)
@@ -128,7 +123,6 @@ def compared(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: in
                 k = int(hit.sum())
                 near.append(100 * k >= percent * (len(x) + len(y) - k))
                 size.append(len(x))
-                centre.append(len(y))
                 d = None
                 if star[i]:
                     lost = np.ones(len(y), bool)
@@ -137,59 +131,140 @@ def compared(pairs: DataFrame, texts: DataFrame, shingles: Shingler, percent: in
                     held += len(d)
                 delta.append(d)
                 if held > 500_000 or i == b.num_rows - 1:
-                    own = [b.column(k).slice(at, len(near)) for k in range(4)]
+                    own = [b.column(k).slice(at, len(near)) for k in range(3)]
                     yield pa.RecordBatch.from_arrays(
-                        [*own, pa.array(near), pa.array(size, pa.int64()), pa.array(centre, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
-                        names=["a", "b", "star", "weight", "near", "size", "centre", "delta"],
+                        [*own, pa.array(near), pa.array(size, pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
+                        names=["a", "b", "star", "near", "size", "delta"],
                     )
-                    at, near, size, centre, delta, held = i + 1, [], [], [], [], 0
+                    at, near, size, delta, held = i + 1, [], [], [], 0
+
+    return both.mapInArrow(run, "a long, b long, star int, near boolean, size long, delta array<long>")
+
 
-    return both.mapInArrow(run, "a long, b long, star int, weight long, near boolean, size long, centre long, delta array<long>")
+def flat(delta: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element) of all elements of a column of lists."""
+    one = delta.combine_chunks()
+    return np.repeat(np.arange(len(one)), one.value_lengths().to_numpy()), one.flatten().to_numpy()
 
 
-def _deltas(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The next round's lists: (key, id, weight) with key a hash of centre and delta element."""
+def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: int, m: int, wide: int = 1024) -> np.ndarray:
+    """How many elements each of n rows on the left shares with each of m rows on the right."""
+    known, of = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    x, y = of[: len(left[1])], of[len(left[1]) :]
+    nx, ny = np.bincount(x, minlength=len(known)), np.bincount(y, minlength=len(known))
+    out = np.zeros((n, m), np.float32)
+    # rare elements: every holder on the left meets every one on the right
+    rare = (nx > 0) & (ny > 0) & (nx * ny <= SPARSE)
+    order = np.argsort(y, kind="stable")
+    first, held = np.cumsum(ny) - ny, right[0][order]
+    at = np.flatnonzero(rare[x])
+    for s in range(0, len(at), SPARSE):
+        i = at[s : s + SPARSE]
+        count = ny[x[i]]
+        j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[x[i]], count)
+        np.add.at(out, (np.repeat(left[0][i], count), held[j]), 1)
+    # the others: products of zeros and ones, ``wide`` elements at a time
+    many = np.flatnonzero((nx * ny) > SPARSE)
+    column = np.full(len(known), -1)
+    column[many] = np.arange(len(many))
+    sides = []
+    for rows, c in ((left[0], column[x]), (right[0], column[y])):
+        use = np.flatnonzero(c >= 0)
+        use = use[np.argsort(c[use], kind="stable")]
+        sides.append((rows[use], c[use]))
+    for s in range(0, len(many), wide):
+        block = []
+        for (rows, c), size in zip(sides, (n, m)):
+            lo, hi = np.searchsorted(c, [s, s + wide])
+            one = np.zeros((size, min(wide, len(many) - s)), np.float32)
+            one[rows[lo:hi], c[lo:hi] - s] = 1
+            block.append(one)
+        out += block[0] @ block[1].T
+    return out
+
+
+def meeting(t: pa.Table, up: int) -> pa.Table:
+    """(a, b): roots that get connected by links between the left (side 0) and right (1) of a meeting; 2 is both."""
+    side = t["side"].to_numpy()
+    at = [np.flatnonzero(side != 1), np.flatnonzero(side != 0)]
+    known, label = np.unique(t["root"].to_numpy(), return_inverse=True)
+    e, got = t["e"].to_numpy(), []
+    if len(known) > 1 and all(map(len, at)):
+        k = shared(*(flat(t["delta"].take(pa.array(i))) for i in at), *map(len, at))
+        now, right = np.arange(len(known)), label[at[1]]
+        for i, row in zip(at[0], k):
+            near = 2 * up * row.astype(np.int64) >= e[i] + e[at[1]]
+            mine = now[label[i]]
+            for other in np.unique(now[right[near]]):
+                if other != mine:
+                    got.append((known[mine], known[other]))
+                    now[now == other] = mine
+    a, b = np.array(got, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
+def _met(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links among the members of stars that connect different roots, by their deltas."""
     up, down = 100 + percent, 100 - percent
-    star = seen.where("star = 1").select(F.col("a").alias("id"), "b", "weight", "near", "size", "centre", "delta")
-    star = star.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = star.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
-    star = star.join(mixed, "b")
-    # a linked member's partners are unlinked, with e over (100 - p) |c|; an unlinked one's partner y has at least
-    # |dx and dy| elements in dy, so e(y) >= (up - down) |dx and dy| - down |c|
-    e, c = up * F.size("delta") - down * F.col("size"), down * F.col("centre")
-    need = F.when(F.col("near"), F.ceil((e + c + 1) / (2 * up))).otherwise(F.ceil((e - c) / (up + down))).cast("int")
-    posts = star.select("b", "id", "root", F.greatest(F.lit(1), need).alias("need"), "weight", e.alias("e"), "size", F.explode("delta").alias("t")).withColumn("key", F.xxhash64("b", "t"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "n")
-    return prefix(posts.join(shared, "key"), ["b", "id", "weight", "e", "size"], F.max("need")).select("key", "id", "weight", "e", "k", "size")
+    star = seen.where("star = 1").select(F.col("a").alias("id"), "b", "size", "delta")
+    for c, name in (("id", "root"), ("b", "centre")):
+        star = star.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    # sizes of two members that are similar lie in the same class or in neighbouring ones
+    step = 1.0001 * max(math.log(100 / percent), 0.01)
+    star = star.select("id", "b", "root", (F.col("root") == F.col("centre")).alias("inner"), F.floor(F.log("size") / step).alias("class"),
+                       (up * F.size("delta") - down * F.col("size")).alias("e"), "delta")
+    open_ = star.groupBy("b").agg(F.min("inner").alias("all")).where("not all").select("b")
+    star = keep(star.join(open_, "b"), "members")
+    part = ["b", "class", "inner"]
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.size("delta").cast("long")) / ELEMENTS))
+    parts = keep(star.groupBy(*part).agg(F.greatest(F.lit(1), blocks.cast("int")).alias("blocks")), "parts")
+    block = parts.select(*part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one = block.select("b", F.struct("class", "inner", "block").alias("left"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
+    two = block.select("b", "class", F.struct("class", "inner", "block").alias("right"))
+    meet = one.join(two, ["b", "class"]).where("left <= right and not (left.inner and right.inner)").select("b", "left", "right")
+    sides = meet.select("*", F.col("left").alias("at"), F.when(F.col("left") == F.col("right"), 2).otherwise(0).alias("side"))
+    sides = sides.union(meet.where("left <> right").select("*", F.col("right").alias("at"), F.lit(1).alias("side")))
+    sides = sides.select("b", "left", "right", "at.*", "side")
+    sent = star.join(parts, part).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sides, [*part, "block"])
+    sent = sent.select("b", "left", "right", "root", "e", "delta", "side")
+    out = keep(sent.groupBy("b", "left", "right").applyInArrow(lambda t: meeting(t, up), "a long, b long"), "met")
+    drop(star, parts)
+    return out
 
 
 def links(
     lists: DataFrame, texts: Callable[[DataFrame], DataFrame], shingles: Shingler, percent: int,
     few: int = FEW, sketches: DataFrame | None = None, alike: Alike | None = None,
 ) -> DataFrame | None:
-    """Roots (node, root) of the members of ``lists`` (key, id, weight, size; e and k are 0) that have links.
+    """Roots (node, root) of the members of ``lists`` (key, id, weight, size) that have links.
 
     ``size`` is that of a member's set, or 0 for all. ``texts`` gives (id, text) for a table of ids; ``shingles`` the sorted distinct elements of a text;
     ``sketches`` has (id, sketch) of each member; pairs whose sketches are not ``alike`` are not looked at, but for stars.
     """
-    roots = held = None
-    for i in range(ROUNDS + 1):
-        pairs, wait = _pairs(lists, roots, few * GROWTH**i, i == 0, i == ROUNDS, 100 + percent, sketches, alike)
-        drop(lists)
-        if pairs.isEmpty():
-            drop(wait)
-            break
-        if held is None:
-            # later rounds only meet members of stars, which are all in a pair, and of lists that wait
-            ends = [pairs.select(F.col(c).alias("id")) for c in "ab"] + ([] if wait is None else [wait.select("id")])
-            held = keep(texts(reduce(DataFrame.union, ends).distinct()), "texts")
-        seen = keep(compared(pairs, held, shingles, percent), "seen")
-        drop(pairs)
-        new = seen.where("near").select("a", "b")
-        was, roots = roots, components(new if roots is None else new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        drop(was)
-        lists = _deltas(seen, roots, percent)
-        lists = keep(lists if wait is None else lists.union(wait), "lists")
-        drop(seen, wait)
-    drop(lists, held, pairs)
+
+    def joined(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+        out = components(new if roots is None else new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        drop(roots, new)
+        return out
+
+    up = 100 + percent
+    pairs, wait = _pairs(lists, None, few, up, sketches, alike)
+    drop(lists)
+    if pairs.isEmpty():
+        drop(pairs, wait)
+        return None
+    # the second step only meets members of lists that wait
+    ends = [pairs.select(F.col(c).alias("id")) for c in "ab"] + [wait.select("id")]
+    held = keep(texts(reduce(DataFrame.union, ends).distinct()), "texts")
+    seen = keep(compared(pairs, held, shingles, percent), "seen")
+    drop(pairs)
+    roots = joined(None, seen.where("near").select("a", "b"))
+    roots = joined(roots, _met(seen, roots, percent))
+    drop(seen)
+    pairs, _ = _pairs(wait, roots, few, up, sketches, alike)
+    drop(wait)
+    seen = keep(compared(pairs, held, shingles, percent), "seen")
+    drop(pairs, held)
+    roots = joined(roots, seen.where("near").select("a", "b"))
+    drop(seen)
     return roots

@@ -132,6 +132,35 @@ def test_stars_and_deltas_are_exact(spark):
         assert [root.get(k, k) for k in range(len(rows))] == brute_roots(sets)
 
 
+@pytest.mark.parametrize("members, sparse", [(40, 10), (1024, 1000)])
+def test_members_of_a_star_meet_as_deltas(spark, monkeypatch, members, sparse):
+    """Long lists are settled by deltas in blocks: texts are compared once a member, however many lie at the threshold."""
+    rng = random.Random(9)
+    core = [f"w{k}" for k in range(60)]
+    rows = [list(core)]
+    for k in range(400):
+        w = list(core) + [f"y{j}" for j in range(rng.choice([0, 0, 5, 12, 40]))]
+        for _ in range(rng.choice([3, 6, 7, 8, 9, 12])):
+            w[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append(w)
+    lists = spark.createDataFrame([(1, k, 1000 - k, 0, 0, 0) for k in range(len(rows))], "key long, id long, weight long, e long, k int, size long")
+    texts = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "id long, text string")
+    counts, compared = [], simjoin.compared
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(simjoin, "compared", counted)
+    monkeypatch.setattr(simjoin, "MEMBERS", members, raising=False)
+    monkeypatch.setattr(simjoin, "SPARSE", sparse, raising=False)
+    got = simjoin.links(lists, lambda ids: texts.join(ids, "id", "left_semi"), lambda t: minhash.shingles(t, 1), 80)
+    root = {r.node: r.root for r in got.collect()}
+    want = brute_roots([frozenset(simjoin_words(r)) for r in rows])
+    assert [root.get(k, k) for k in range(len(rows))] == want and 10 < len(set(want)) < 390
+    assert sum(counts) <= 2 * len(rows)
+
+
 def simjoin_words(words):
     return minhash.shingles(" ".join(words), 1).tolist()
 
