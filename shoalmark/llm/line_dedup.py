@@ -9,8 +9,10 @@ then position); all others go.
 
 Recall: BANDS bands of ROWS minima find a pair at the threshold with probability 1 - (1 - 0.8^6)^20 = 0.9977, one
 at 85 % with 0.9999. Six rows keep chance meetings rare (a pair at 10 % meets with probability 2e-5); as they
-grow with the square of the lines, ROWS is to grow with the logarithm of their number. Two bits of each minimum
-rule out far pairs before lines are fetched (they lose a pair at 80 % with probability 1e-4).
+grow with the square of the lines, a key that two lines alone share is dropped where the postings are dealt, unless
+SOME of 32 two-bit minima outside its band agree (that loses a pair at 80 % with probability 2e-5 and leaves one
+chance meeting in 2,000). Two bits of each minimum rule out far pairs before lines are fetched (they lose a pair at
+80 % with probability 1e-4).
 
 Signatures and set comparisons run in numpy on Arrow batches: in DataFrame functions alone they took over
 three times the CPU time allowed (see the README). Everything else is joins and sums.
@@ -38,7 +40,9 @@ from .minhash import M1, PLUS, TIMES, agree, mix, two_bits
 
 WIDTH, BANDS, ROWS, PERCENT = 5, 20, 6, 80
 #: Minima of which two bits each are kept, and how many must agree; bands in one pass over the signatures.
-FINE, AGREE, PASS = 128, 93, 4
+FINE, AGREE, PASS = 128, 93, 2
+#: How many of 32 two-bit minima must agree for two lines that hold a key alone.
+SOME = 18
 SPACES = b" \t\n\v\f\r"
 
 
@@ -52,9 +56,26 @@ def chained(cp: np.ndarray) -> np.ndarray:
 
 
 def shingles(line: str) -> np.ndarray:
-    """The sorted distinct hashes of a line's character shingles; a shorter line is its own shingle."""
+    """The sorted distinct character shingles of a line; a shorter line is its own shingle.
+
+    A shingle of code points below 4,096 is packed into 60 bits, any other is hashed to a number above those.
+    """
     cp = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-    return np.unique(chained(np.pad(cp, (0, max(0, WIDTH - len(cp))))))
+    if len(cp) < WIDTH:
+        cp = np.pad(cp, (0, WIDTH - len(cp)))
+    wide = cp.astype(np.uint64)
+    n = len(cp) - WIDTH + 1
+    v = wide[:n].copy()
+    for k in range(1, WIDTH):
+        v <<= np.uint64(12)
+        v |= wide[k : k + n]
+    if cp.max() >= 4096:
+        high = np.lib.stride_tricks.sliding_window_view(cp >= 4096, WIDTH).any(1)
+        v[high] = chained(cp)[high] | np.uint64(1 << 63)
+    v.sort()
+    new = np.ones(n, bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    return v[new]
 
 
 def minima(lines: list[bytes], coords: int = FINE, wide: int = 64, step: int = 512) -> np.ndarray:
@@ -160,14 +181,33 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return one.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
+def shared_keys(posts: DataFrame) -> DataFrame:
+    """The keys of (id, key, f) that lines share, but for those of two lines alone whose ``f`` is too unlike."""
+    ends = [F.min("id").alias("lo"), F.max("id").alias("hi")]
+    bits = [c(x).alias(f"{x}_{n}") for x in ("id", "f") for n, c in (("and", F.bit_and), ("or", F.bit_or))]
+    # a third line's hash holds all bits that the two share, and no other than theirs, by a chance of 2^-32
+    two = (F.col("id_and") == F.col("lo").bitwiseAND(F.col("hi"))) & (F.col("id_or") == F.col("lo").bitwiseOR(F.col("hi")))
+    alike = agree(F.array("f_and"), F.array("f_or"), 1) >= SOME
+    return posts.groupBy("key").agg(*ends, *bits).where((F.col("lo") < F.col("hi")) & (~two | alike)).select("key")
+
+
+def candidates(sigs: DataFrame) -> list[DataFrame]:
+    """(key, id) of the lines that share a key, a table for each PASS bands."""
+    lists = []
+    for p in range(0, BANDS, PASS):
+        keys = F.explode(F.array(*(F.col(f"k{b}") for b in range(p, p + PASS)))).alias("key")
+        # two-bit minima that these bands do not hold
+        outside = "f0" if p * ROWS >= 32 and (p + PASS) * ROWS > FINE - 32 else f"f{FINE // 32 - 1}"
+        # dealt once by key: the keys are summed and joined where they lie
+        posts = sigs.select("id", F.col(outside).alias("f"), keys).repartition("key")
+        lists.append(keep(posts.join(shared_keys(posts).hint("shuffle_hash"), "key").select("key", "id").distinct(), "posts"))
+    return lists
+
+
 def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """(node, root) of the line hashes that are linked to others."""
     sigs = keep(signatures(docs), "linesigs")
-    lists = []
-    for p in range(0, BANDS, PASS):
-        posts = sigs.select("id", F.explode(F.array(*(F.col(f"k{b}") for b in range(p, p + PASS)))).alias("key"))
-        shared = posts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-        lists.append(keep(posts.join(shared, "key").distinct(), "posts"))
+    lists = candidates(sigs)
     posts = lists[0]
     for more in lists[1:]:
         posts = posts.union(more)

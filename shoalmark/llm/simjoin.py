@@ -17,7 +17,8 @@ meeting all |dx and dy| are counted at once (rare elements by their holders, fre
 matrices), and only links that connect what is not yet connected are rows.
 
 Rows made: at most ``few`` pairs a posting in short lists, one star row a posting, and of the members of a centre
-one for each block that its own meets. The work of a centre still is the square of its members, in numpy on blocks:
+one for each block that its own meets. The latter are sent in rounds of about SENT times the members, so disk
+grows with the members and not with the square of a family. The work of a centre still is the square of its members, in numpy on blocks:
 pairs around the threshold are told apart by counting only, but they are neither rows nor fetched as texts.
 """
 
@@ -37,6 +38,8 @@ from .common import components, drop, keep
 PAIRS, FEW = 8, 64
 #: Members and delta elements of a block, about; pairs of holders up to which an element is counted by them.
 MEMBERS, ELEMENTS, SPARSE = 1024, 400_000, 1_000
+#: What is sent to block meetings in a round: so many times all delta elements, or so many elements if that is more.
+SENT, SENT_LEAST = 4, 20_000_000
 IN, OUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 Shingler = Callable[[str], np.ndarray]
@@ -217,7 +220,8 @@ def _met(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     star = keep(star.join(open_, "b"), "members")
     part = ["b", "class", "inner"]
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.size("delta").cast("long")) / ELEMENTS))
-    parts = keep(star.groupBy(*part).agg(F.greatest(F.lit(1), blocks.cast("int")).alias("blocks")), "parts")
+    held = F.sum(F.size("delta").cast("long") + 8).alias("held")
+    parts = keep(star.groupBy(*part).agg(F.greatest(F.lit(1), blocks.cast("int")).alias("blocks"), held), "parts")
     block = parts.select(*part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     one = block.select("b", F.struct("class", "inner", "block").alias("left"), F.explode(F.array("class", F.col("class") + 1)).alias("class"))
     two = block.select("b", "class", F.struct("class", "inner", "block").alias("right"))
@@ -225,10 +229,20 @@ def _met(seen: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     sides = meet.select("*", F.col("left").alias("at"), F.when(F.col("left") == F.col("right"), 2).otherwise(0).alias("side"))
     sides = sides.union(meet.where("left <> right").select("*", F.col("right").alias("at"), F.lit(1).alias("side")))
     sides = sides.select("b", "left", "right", "at.*", "side")
-    sent = star.join(parts, part).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sides, [*part, "block"])
-    sent = sent.select("b", "left", "right", "root", "e", "delta", "side")
-    out = keep(sent.groupBy("b", "left", "right").applyInArrow(lambda t: meeting(t, up), "a long, b long"), "met")
+    volume = sides.join(parts, part).agg(F.sum(F.col("held") / F.col("blocks"))).first()[0] or 0
+    most = max(SENT * (parts.agg(F.sum("held")).first()[0] or 0), SENT_LEAST)
+    rounds = max(1, math.ceil(volume / most))
+    dealt = star.join(parts.drop("held"), part).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = []
+    for r in range(rounds):
+        now = sides.where(F.pmod(F.xxhash64("b", "left", "right"), F.lit(rounds)) == r)
+        sent = dealt.join(now, [*part, "block"]).select("b", "left", "right", "root", "e", "delta", "side")
+        met.append(keep(sent.groupBy("b", "left", "right").applyInArrow(lambda t: meeting(t, up), "a long, b long"), "met"))
     drop(star, parts)
+    if rounds == 1:
+        return met[0]
+    out = keep(reduce(DataFrame.union, met), "met")
+    drop(*met)
     return out
 
 

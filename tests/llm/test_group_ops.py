@@ -216,6 +216,68 @@ def test_families_of_lines_need_few_comparisons(spark, monkeypatch):
     assert sum(counts) <= 40 * len(lines)
 
 
+def test_chance_meetings_of_lines_are_not_postings(spark, monkeypatch):
+    """Unlike lines that share a band by chance grow with the square of the lines: they leave where keys are dealt."""
+    rng = random.Random(31)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(3000):  # similarity about 0.33
+        one = text(60)
+        lines += [one + text(60), one + text(60)]
+    unlike = len(lines)
+    for _ in range(200):
+        one = text(200)
+        lines += [one, one[:100] + "-" + one[101:]]
+    keys = line_dedup.bands(line_dedup.minima([x.encode() for x in lines[:unlike]]))
+    meetings = int((keys[::2] == keys[1::2]).sum())
+    held, links = [], simjoin.links
+
+    def counted(lists, *rest, **more):
+        held.append(lists.join(far, "id").count())
+        return links(lists, *rest, **more)
+
+    docs = spark.createDataFrame([(k, "\n".join(lines[k * 2 : k * 2 + 2])) for k in range(len(lines) // 2)], "doc_id long, text string")
+    far = docs.where(F.col("doc_id") < unlike // 2).select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("id"))
+    monkeypatch.setattr(simjoin, "links", counted)
+    gone = {(r.doc_id, *r.gone) for r in line_dedup.dropped(docs).collect()}
+    assert gone == {(k, 1) for k in range(unlike // 2, len(lines) // 2)}
+    assert meetings > 30 and held[0] < meetings  # two postings a meeting if all stay
+
+
+def test_block_meetings_are_sent_in_rounds(spark, monkeypatch):
+    """What is sent at once is bounded by the members, not by the square of a family; links are those of one round."""
+    rng = random.Random(17)
+    core = [f"w{k}" for k in range(60)]
+    rows = [list(core)]
+    for _ in range(300):
+        w = list(core)
+        for _ in range(rng.choice([3, 6, 7, 8, 9, 12])):
+            w[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append(w)
+    lists = spark.createDataFrame([(1, k, 1000 - k, 0) for k in range(len(rows))], "key long, id long, weight long, size long")
+    texts = spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "id long, text string")
+    names, keep = [], simjoin.keep
+    monkeypatch.setattr(simjoin, "keep", lambda df, name: (names.append(name), keep(df, name))[1])
+    for name, value in (("MEMBERS", 20), ("SENT", 2), ("SENT_LEAST", 1)):
+        monkeypatch.setattr(simjoin, name, value, raising=False)
+    got = simjoin.links(lists, lambda ids: texts.join(ids, "id", "left_semi"), lambda t: minhash.shingles(t, 1), 80)
+    root = {r.node: r.root for r in got.collect()}
+    assert [root.get(k, k) for k in range(len(rows))] == brute_roots([frozenset(simjoin_words(r)) for r in rows])
+    assert names.count("met") > 2
+
+
+def test_line_shingles_are_the_distinct_windows():
+    rng = random.Random(5)
+    letters = ["ab", "abcdefgh ", "aé\u0fff\u1000世", "世界\U0001f600", "a\U0010ffff"]
+    lines = ["".join(rng.choice(x) for _ in range(n)) for x in letters for n in (1, 3, 5, 6, 40, 300)]
+    of = [set(x[k : k + 5] for k in range(len(x) - 4)) or {x} for x in lines]
+    got = [line_dedup.shingles(x) for x in lines]
+    for a, x in zip(of, got):
+        assert (np.sort(x) == x).all()
+        for b, y in zip(of, got):
+            assert (len(a), len(a & b)) == (len(x), len(np.intersect1d(x, y)))
+
+
 def test_line_bands_see_all_shingles():
     rng = random.Random(8)
 
