@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last
-return the columns of documents. ``run`` writes each stage's result as Parquet and reads it again.
+return the columns of documents. ``run`` writes each stage's result as Parquet, reads it again and deletes the one before.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalmark.llm import line_dedup, minhash, packing, pii, quality
-from shoalmark.llm.common import keep, table
+from shoalmark.llm.common import drop, keep, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        was, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        drop(was)
     return docs
