@@ -9,10 +9,11 @@ then position); all others go.
 
 Recall: BANDS bands of ROWS minima find a pair at the threshold with probability 1 - (1 - 0.8^6)^20 = 0.9977, one
 at 85 % with 0.9999. Six rows keep chance meetings rare (a pair at 10 % meets with probability 2e-5); as they
-grow with the square of the lines, a key that two lines alone share is dropped where the postings are dealt, unless
-SOME of 32 two-bit minima outside its band agree (that loses a pair at 80 % with probability 2e-5 and leaves one
-chance meeting in 2,000). Two bits of each minimum rule out far pairs before lines are fetched (they lose a pair at
-80 % with probability 1e-4).
+grow with the square of the lines, a posting leaves where the postings are dealt, whatever the length of its list,
+unless SOME of 64 two-bit minima outside its band agree with those of another line in the list (that loses a pair at
+80 % with probability 9e-6 and leaves one chance meeting at 10 % in four million). Two bits of each minimum rule out
+far pairs before lines are fetched (they lose a pair at 80 % with probability 1e-4). Keys have 32 bits: lists that
+collide are one, so no pair is lost.
 
 Signatures and set comparisons run in numpy on Arrow batches: in DataFrame functions alone they took over
 three times the CPU time allowed (see the README). Everything else is joins and sums.
@@ -41,8 +42,8 @@ from .minhash import M1, PLUS, TIMES, agree, mix, two_bits
 WIDTH, BANDS, ROWS, PERCENT = 5, 20, 6, 80
 #: Minima of which two bits each are kept, and how many must agree; bands in one pass over the signatures.
 FINE, AGREE, PASS = 128, 93, 2
-#: How many of 32 two-bit minima must agree for two lines that hold a key alone.
-SOME = 18
+#: How many of 64 two-bit minima outside a pass's bands must agree for two lines to keep each other in a list.
+SOME = 41
 SPACES = b" \t\n\v\f\r"
 
 
@@ -143,17 +144,17 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, seen_most: int = 100_000) -> DataFrame:
-    """(id, k0 ..., f0 ...): hash, band keys and two-bit minima of the lines; a worker skips lines that it has seen."""
-    longs = [*(f"k{b}" for b in range(BANDS)), *(f"f{k}" for k in range(FINE // 32))]
+    """(id, k0 ..., f0 ...): hash, 32 bits of the band keys and two-bit minima of the lines; a worker skips lines that it has seen."""
+    keys, longs = [f"k{b}" for b in range(BANDS)], [f"f{k}" for k in range(FINE // 32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
 
         def rows(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
             low = minima([x for _, x in held])
-            cols = np.concatenate([bands(low), two_bits(low)], 1)
+            cols = [*np.ascontiguousarray(bands(low).astype(np.int32).T), *np.ascontiguousarray(two_bits(low).T)]
             h = np.array([x for x, _ in held], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, np.ascontiguousarray(cols.T))], names=["id", *longs])
+            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, cols)], names=["id", *keys, *longs])
 
         for b in batches:
             held, size = [], 0
@@ -172,7 +173,7 @@ def signatures(docs: DataFrame, seen_most: int = 100_000) -> DataFrame:
             if held:
                 yield rows(held)
 
-    return docs.select("text").mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in longs))
+    return docs.select("text").mapInArrow(run, ", ".join(["id long", *(f"{c} int" for c in keys), *(f"{c} long" for c in longs)]))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -181,26 +182,21 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return one.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def shared_keys(posts: DataFrame) -> DataFrame:
-    """The keys of (id, key, f) that lines share, but for those of two lines alone whose ``f`` is too unlike."""
-    ends = [F.min("id").alias("lo"), F.max("id").alias("hi")]
-    bits = [c(x).alias(f"{x}_{n}") for x in ("id", "f") for n, c in (("and", F.bit_and), ("or", F.bit_or))]
-    # a third line's hash holds all bits that the two share, and no other than theirs, by a chance of 2^-32
-    two = (F.col("id_and") == F.col("lo").bitwiseAND(F.col("hi"))) & (F.col("id_or") == F.col("lo").bitwiseOR(F.col("hi")))
-    alike = agree(F.array("f_and"), F.array("f_or"), 1) >= SOME
-    return posts.groupBy("key").agg(*ends, *bits).where((F.col("lo") < F.col("hi")) & (~two | alike)).select("key")
-
-
 def candidates(sigs: DataFrame) -> list[DataFrame]:
-    """(key, id) of the lines that share a key, a table for each PASS bands."""
+    """(key, id) of the lines that hold a key with another line like them, a table for each PASS bands."""
     lists = []
     for p in range(0, BANDS, PASS):
-        keys = F.explode(F.array(*(F.col(f"k{b}") for b in range(p, p + PASS)))).alias("key")
+        own = [F.col(f"k{b}").cast("long").bitwiseAND(F.lit(2**32 - 1)) + F.lit(b << 32) for b in range(p, p + PASS)]
+        keys = F.explode(F.array(*own)).alias("key")
         # two-bit minima that these bands do not hold
-        outside = "f0" if p * ROWS >= 32 and (p + PASS) * ROWS > FINE - 32 else f"f{FINE // 32 - 1}"
-        # dealt once by key: the keys are summed and joined where they lie
-        posts = sigs.select("id", F.col(outside).alias("f"), keys).repartition("key")
-        lists.append(keep(posts.join(shared_keys(posts).hint("shuffle_hash"), "key").select("key", "id").distinct(), "posts"))
+        held = range(p * ROWS // 32, ((p + PASS) * ROWS - 1) // 32 + 1)
+        outside = [F.col(f"f{k}") for k in range(FINE // 32) if k not in held][-2:]
+        # dealt once by key: each posting looks for another one where they lie, and the first that is alike ends the search
+        posts = sigs.select("id", *(c.alias(f"f{k}") for k, c in enumerate(outside)), keys).repartition("key")
+        other = posts.select(*(F.col(c).alias(f"{c}_") for c in posts.columns))
+        alike = agree(*(F.array(f"f0{x}", f"f1{x}") for x in ("", "_")), 2) >= SOME
+        met = posts.join(other.hint("shuffle_hash"), (F.col("key") == F.col("key_")) & (F.col("id") != F.col("id_")) & alike, "left_semi")
+        lists.append(keep(met.select("key", "id").distinct(), "posts"))
     return lists
 
 

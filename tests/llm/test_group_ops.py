@@ -1,5 +1,6 @@
 """Search, duplicates, link graph and pipeline against brute force."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -244,6 +245,39 @@ def test_chance_meetings_of_lines_are_not_postings(spark, monkeypatch):
     assert meetings > 30 and held[0] < meetings  # two postings a meeting if all stay
 
 
+def test_chance_lists_of_many_lines_are_not_postings(spark, monkeypatch):
+    """On larger tables unlike lines share a band by threes and more: these leave where keys are dealt, too."""
+    rng = random.Random(37)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(100):  # similarity about 0.33
+        one = text(60)
+        lines += [one + text(60) for _ in range(40)]
+    keys = line_dedup.bands(line_dedup.minima([x.encode() for x in lines]))
+    n = np.concatenate([np.unique(k, return_counts=True)[1] for k in keys.T])
+    held, links = [], simjoin.links
+
+    def counted(lists, *rest, **more):
+        held.append(lists.count())
+        return links(lists, *rest, **more)
+
+    monkeypatch.setattr(simjoin, "links", counted)
+    docs = spark.createDataFrame([(k, "\n".join(lines[k * 40 : k * 40 + 40])) for k in range(100)], "doc_id long, text string")
+    assert line_dedup.dropped(docs).count() == 0
+    assert n[n > 2].sum() > 100 and 5 * held[0] < n[n > 2].sum()
+
+
+def test_pipeline_run_keeps_the_last_stage_only(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, same) for name in ("stage_one", "stage_two", "stage_three")])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    root = common.scratch_root(spark).removeprefix("file:")
+    assert [n.split("-")[0] for n in sorted(os.listdir(root)) if n.startswith("stage_")] == ["stage_three"]
+
+
 def test_block_meetings_are_sent_in_rounds(spark, monkeypatch):
     """What is sent at once is bounded by the members, not by the square of a family; links are those of one round."""
     rng = random.Random(17)
