@@ -176,10 +176,20 @@ def signatures(docs: DataFrame, seen_most: int = 100_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, ", ".join(["id long", *(f"{c} int" for c in keys), *(f"{c} long" for c in longs)]))
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, ids: DataFrame, at: DataFrame) -> DataFrame:
+    """(id, rid, text) of the lines whose hash is among ``ids``, from one document each; ``at`` are the places.
+
+    The document is chosen on hashes, which are summed before they are sent: of a line that many documents hold
+    the copies are dealt by document, so they do not meet in one task.
+    """
+    first = at.groupBy(F.col("h").alias("id")).agg(F.min("rid").alias("rid")).join(ids, "id", "left_semi")
+    one = named(docs).select("rid", F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
+    return one.join(first, ["id", "rid"]).select("id", "rid", "text")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, at: DataFrame) -> DataFrame:
     """(id, text) of the lines whose hash is among ``ids``."""
-    one = docs.select(F.explode(F.split("text", "\n", -1)).alias("text")).withColumn("id", F.xxhash64("text"))
-    return one.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return copies(docs, ids, at).groupBy("id", "rid").agg(F.min("text").alias("text")).select("id", "text")
 
 
 def candidates(sigs: DataFrame) -> list[DataFrame]:
@@ -200,8 +210,8 @@ def candidates(sigs: DataFrame) -> list[DataFrame]:
     return lists
 
 
-def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """(node, root) of the line hashes that are linked to others."""
+def roots_of(docs: DataFrame, at: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """(node, root) of the line hashes that are linked to others; ``at`` are the places of all lines."""
     sigs = keep(signatures(docs), "linesigs")
     lists = candidates(sigs)
     posts = lists[0]
@@ -217,7 +227,7 @@ def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     def alike(a: Column, b: Column) -> Column:
         return agree(a, b, FINE // 32) >= AGREE
 
-    out = simjoin.links(full, lambda ids: texts_of(docs, ids), shingles, percent, sketches=fine.withColumnRenamed("fine", "sketch"), alike=alike)
+    out = simjoin.links(full, lambda ids: texts_of(docs, ids, at), shingles, percent, sketches=fine.withColumnRenamed("fine", "sketch"), alike=alike)
     drop(fine)
     return out
 
@@ -225,7 +235,7 @@ def roots_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame | None:
 def dropped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, rid, gone): the positions (from 0) of the lines that go, for documents that lose any."""
     at = keep(places(docs), "places")
-    roots = roots_of(docs, percent)
+    roots = roots_of(docs, at, percent)
     none = at.sparkSession.createDataFrame([], "h long, root long")
     roots = none if roots is None else roots.withColumnRenamed("node", "h")
     spread = [F.min("doc_id"), F.max("doc_id"), F.min("rid"), F.max("rid"), F.min("pos"), F.max("pos")]

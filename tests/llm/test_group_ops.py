@@ -267,6 +267,18 @@ def test_chance_lists_of_many_lines_are_not_postings(spark, monkeypatch):
     assert n[n > 2].sum() > 100 and 5 * held[0] < n[n > 2].sum()
 
 
+def test_copies_of_a_line_do_not_meet_in_one_task(spark):
+    """A line that many documents hold is fetched from one of them; its copies are not dealt to one task."""
+    texts = [f"the common line of all\nown line {k}\nthe common line of all" for k in range(2000)]
+    docs = spark.createDataFrame([*enumerate(texts), (2000, None), (None, "no id\nthe common line of all")], "doc_id long, text string")
+    at = line_dedup.places(docs)
+    want = ["the common line of all", "own line 7", "own line 8", "no id"]
+    ids = spark.createDataFrame([(x,) for x in want], "text string").select(F.xxhash64("text").alias("id"))
+    assert line_dedup.copies(docs, ids, at).count() <= 5  # one document holds the common line once or twice
+    got = line_dedup.texts_of(docs, ids, at)
+    assert sorted(r.text for r in got.collect()) == sorted(want) and got.select("id").distinct().count() == 4
+
+
 def test_pipeline_run_keeps_the_last_stage_only(spark, monkeypatch, tmp_path):
     import corpus_pipeline
 
