@@ -82,7 +82,7 @@ def tfidf_search(s, d):
 @query("soft_budget_filter", "products", f"with {values()}, {PARSED}, c as (select query_id, product_id, price, budget, (budget is null or price <= 1.25 * budget) as ok from rq cross join products), a as (select *, max(ok::int) over (partition by query_id) as anyp from c) select query_id, product_id from a where ok or anyp = 0")
 def soft_budget(s, d):
     p = A.products(s, d)
-    return B.soft_budget(B.parse(requests(s)).select("query_id", "budget").crossJoin(p.select("product_id", "price"))).select("query_id", "product_id")
+    return B.soft_budget(B.parse(requests(s)).select("query_id", "budget"), p.select("product_id", "price")).select("query_id", "product_id")
 
 
 PROFILE = """h as (select user_id, event_weight * exp(-coalesce(date_sub('day', ts, max(ts) over (partition by user_id)), 0) / 60.0::double) as w, product_id from ev),

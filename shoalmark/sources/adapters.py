@@ -67,7 +67,7 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("stock"),
         F.avg((F.col("l_returnflag") == "R").cast("double")).alias("return_rate"),
     )
-    p = raw(spark, d, "part").select("p_partkey", "p_size")
+    p = raw(spark, d, "part").select("p_partkey", "p_size").hint("merge")  # its file is small, its rows are many
     return p.join(agg, F.col("p_partkey") == F.col("l_partkey")).select(
         F.col("p_partkey").alias("product_id"), "stock", (F.lit(0.25) + F.lit(0.006) * F.col("p_size")).alias("margin"), "return_rate"
     )
