@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from .store import hold
 
 EPS = 1e-6
 WEEKS = (1, 2, 3, 4)
@@ -27,26 +28,34 @@ def within(day: int, lo: int, hi: int = 0) -> Column:
 
 def unit_table(tx: DataFrame, day: int, key: str, p: str) -> DataFrame:
     """Sales windows, ranks, shares, buyers, trend, repurchase, age, popularity of items (p=i) or families (p=p)."""
-    n = lambda c: F.count(F.when(c, 1))
-    u = lambda c: F.count_distinct(F.when(c, F.col("uidx")))
-    aggs = [n(within(day, 7 * w)).alias(f"{p}_{w}w_sale") for w in WEEKS]
-    aggs += [n(within(day, 14, 7)).alias(f"lw_{p}_sale"), u(within(day, 7)).alias(f"{p}_sale_uni"), u(within(day, 14, 7)).alias(f"lw_{p}_sale_uni")]
-    aggs += [n(within(day, 372, 358)).alias(f"{p}_ly_sale"), F.count(F.lit(1)).alias(f"{p}_full_sale")]
-    aggs += [F.sum(1 / (day - F.col("day"))).alias(f"{p}_pop"), F.greatest(F.lit(day) - F.min("day"), F.lit(1)).alias(f"{p}_age"), (F.lit(day) - F.avg("day")).alias(f"{p}_time_mean")]
-    t = cut(tx, day).groupBy(key).agg(*aggs)
-    per = cut(tx, day).groupBy(key, "uidx").agg(F.count(F.lit(1)).alias("k"))
-    rep = per.groupBy(key).agg((F.count(F.when(F.col("k") > 1, 1)) / (F.count(F.lit(1)) + EPS)).alias(f"{p}_repurchase_ratio"))
-    t = t.join(rep, key)
-    totals = t.agg(*(F.greatest(F.sum(f"{p}_{w}w_sale").cast("double"), F.lit(EPS)).alias(f"t{w}") for w in WEEKS), *(F.count(F.when(F.col(f"{p}_{w}w_sale") > 0, 1)).alias(f"n{w}") for w in WEEKS))
+    names = {f"{p}_{w}w_sale": within(day, 7 * w) for w in WEEKS}
+    names |= {f"lw_{p}_sale": within(day, 14, 7), f"{p}_ly_sale": within(day, 372, 358), f"{p}_full_sale": F.lit(True)}
+    # first by unit and buyer, where distinct buyers are rows; dealt by unit, so both steps read the same narrow rows
+    parts = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a part by bytes would hold millions of groups
+    per = cut(tx, day).select(key, "uidx", "day").repartition(parts, key).groupBy(key, "uidx").agg(
+        *(F.count(F.when(c, 1)).alias(k) for k, c in names.items()), F.sum(1 / (day - F.col("day"))).alias("pop"), F.min("day").alias("first"), F.sum("day").alias("days")
+    )
+    full = F.sum(f"{p}_full_sale")
+    t = per.groupBy(key).agg(
+        *(F.sum(k).alias(k) for k in names),
+        F.count(F.when(F.col(f"{p}_1w_sale") > 0, F.col("uidx"))).alias(f"{p}_sale_uni"), F.count(F.when(F.col(f"lw_{p}_sale") > 0, F.col("uidx"))).alias(f"lw_{p}_sale_uni"),
+        F.sum("pop").alias(f"{p}_pop"), F.greatest(F.lit(day) - F.min("first"), F.lit(1)).alias(f"{p}_age"), (F.lit(day) - F.sum("days") / full).alias(f"{p}_time_mean"),
+        (F.count(F.when(F.col(f"{p}_full_sale") > 1, 1)) / (F.count(F.lit(1)) + EPS)).alias(f"{p}_repurchase_ratio"),
+    )
+    t = hold(t, "units")  # one row a unit, read once more for the ranks
+    # ranks and totals over the counts of each value: a small table, so no global window over units
+    sales = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.col(f"{p}_{w}w_sale").alias("c")) for w in WEEKS)))
+    by = hold(t.select(sales.alias("x")).select("x.*").where("c > 0").groupBy("w", "c").agg(F.count(F.lit(1)).alias("m")), "counts")
+    of = lambda w, c: F.coalesce(F.sum(F.when(F.col("w") == w, c)), F.lit(0))
+    totals = by.agg(*(F.greatest(of(w, F.col("c") * F.col("m")).cast("double"), F.lit(EPS)).alias(f"t{w}") for w in WEEKS), *(of(w, F.col("m")).alias(f"n{w}") for w in WEEKS))
     t = t.crossJoin(F.broadcast(totals))
+    above = F.sum("m").over(Window.partitionBy("w").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = by.select("w", "c", (F.coalesce(above, F.lit(0)) + (F.col("m") + 1) / 2).alias("r"))
     for w in WEEKS:
-        t = t.withColumn(f"{p}_{w}w_sale_norm", F.col(f"{p}_{w}w_sale") / F.col(f"t{w}"))
-        # ranks over the counts of each value: a small table, so no global window over units
         c = f"{p}_{w}w_sale"
-        by = t.where(F.col(c) > 0).groupBy(c).agg(F.count(F.lit(1)).alias("m"))
-        above = F.sum("m").over(Window.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1))
-        by = by.select(c, (F.coalesce(above, F.lit(0)) + (F.col("m") + 1) / 2).alias(f"{c}_rank"))
-        t = t.join(F.broadcast(by), c, "left").withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.col(f"n{w}") + 1.0))
+        t = t.withColumn(f"{c}_norm", F.col(c) / F.col(f"t{w}"))
+        one = ranks.where(F.col("w") == w).select(F.col("c").alias(c), F.col("r").alias(f"{c}_rank"))
+        t = t.join(F.broadcast(one), c, "left").withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.col(f"n{w}") + 1.0))
     cur, last = F.col(f"{p}_1w_sale"), F.col(f"lw_{p}_sale")
     daily = F.col(f"{p}_full_sale") / F.col(f"{p}_age")
     return t.withColumns({
@@ -121,6 +130,7 @@ def budget_tier(tx: DataFrame) -> DataFrame:
 
 def join_features(cand: DataFrame, tx: DataFrame, items: DataFrame, day: int) -> DataFrame:
     """All feature columns of (uidx, iidx) candidates; what a unit lacks is 0, a missing rank is last."""
+    tx, items = hold(cut(tx, day), "log"), hold(items, "items")  # ten tables read them
     a = items.select("iidx", "fidx", "cat_code", "style_code", "occ_code", "color_code", F.col("price").alias("list_price"))
     fam = tx.join(items.select("iidx", "fidx"), "iidx")
     df = cand.join(a, "iidx", "left")

@@ -1,7 +1,9 @@
 """Steps whose work or memory must be shared out, however few bytes or keys there are."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from shoalmark.operators import features as T
 from shoalmark.operators import rules as R
 
 
@@ -16,3 +18,26 @@ def test_pairs_of_one_triple_are_shared_out(spark):
     assert got.distinct().count() == got.count() == 290 * 290 + 10 * 10
     assert len(own) >= 4 and max(r["count"] for r in own) < 0.6 * 290 * 290
     assert "Broadcast" not in plan(got)
+
+
+def test_unit_rows_are_not_expanded(spark):
+    """Distinct buyers are counted as rows of (unit, buyer); the log is not copied for each distinct count."""
+    rows = [(u, i, d) for u in range(6) for i in range(9) for d in (90, 92, 97, 99) if (u * i + d) % 3]
+    tx = spark.createDataFrame(rows, "uidx long, iidx long, day int")
+    seen = []
+    hold = T.hold
+    T.hold = lambda df, name: seen.append(plan(df)) or hold(df, name)
+    try:
+        got = {r.iidx: r for r in T.unit_table(tx, 100, "iidx", "i").collect()}
+    finally:
+        T.hold = hold
+    assert seen and not any("Expand" in p for p in seen)
+    for i in range(9):
+        own = [(u, d) for u, x, d in rows if x == i]
+        if own:
+            week, last = {u for u, d in own if d >= 93}, {u for u, d in own if d < 93}
+            again = [u for u, _ in own]
+            users = set(again)
+            assert (got[i].i_sale_uni, got[i].lw_i_sale_uni, got[i].i_full_sale, got[i].i_age) == (len(week), len(last), len(own), 100 - min(d for _, d in own))
+            assert got[i].i_repurchase_ratio == pytest.approx(sum(again.count(u) > 1 for u in users) / (len(users) + 1e-6))
+            assert got[i].i_time_mean == pytest.approx(100 - sum(d for _, d in own) / len(own))
