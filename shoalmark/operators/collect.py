@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .rules import top
+from .store import hold
+
+#: Rows of rule outputs that one task pivots.
+ROWS = 500_000
 
 
 def union(outputs: list[DataFrame]) -> DataFrame:
@@ -25,10 +29,16 @@ def normal_scores(out: DataFrame) -> DataFrame:
         f = NormalDist().inv_cdf
         return p.map(lambda x: f(min(max(x, 1e-7), 1 - 1e-7)))
 
+    # scores are dealt by range and summed within a range and over the ranges before it: a rule may have as many as rows
     per = out.groupBy("method", "score").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy("method").orderBy("score")
-    below = F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("m").over(Window.partitionBy("method"))
+    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = hold(per.repartitionByRange(parts, "method", "score").withColumn("part", F.spark_partition_id()), "scores")
+    sums = per.groupBy("method", "part").agg(F.sum("m").alias("own"))
+    rule = Window.partitionBy("method")
+    sums = sums.select("method", "part", F.coalesce(F.sum("own").over(rule.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(rule).alias("total"))
+    w = Window.partitionBy("method", "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("below", F.coalesce(F.sum("m").over(w), F.lit(0))).join(F.broadcast(sums), ["method", "part"])  # ranges and rules
+    below, total = F.col("before") + F.col("below"), F.col("total")
     mid = per.withColumn("q", (below + (F.col("m") - 1) / 2) / F.greatest(total - 1, F.lit(1)))
     mid = mid.withColumn("z", inverse("q")).select("method", "score", "z")
     return out.join(mid, ["method", "score"]).select("uidx", "iidx", "method", F.col("z").alias("score"))
@@ -58,20 +68,24 @@ def trim(out: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def pivot(out: DataFrame, methods: list[str]) -> DataFrame:
-    """One column per rule of a fixed list; null where the rule did not give the pair."""
+    """One column per rule of a fixed list; null where the rule did not give the pair.
+
+    Rows are dealt by user, into parts of a bounded number: what follows goes by user too.
+    """
     return out.groupBy("uidx", "iidx").pivot("method", methods).agg(F.sum("score"))
 
 
 def collect(outputs: list[DataFrame], methods: list[str], labels: DataFrame | None = None, gone: DataFrame | None = None, least: float | None = None, norm: bool = False) -> DataFrame:
     """Scores are normalised over all that a rule gives; only then out-of-stock items go."""
-    out = union(outputs)
+    out = hold(union(outputs), "outputs")
+    parts = max(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), out.count() // ROWS)
     if norm:
-        out = normal_scores(out)
+        out = hold(normal_scores(out), "normal") if labels is not None and least else normal_scores(out)
     if gone is not None:
         out = out.join(gone.select("iidx"), "iidx", "left_anti")
     if labels is not None and least:
         out = trim(out, labels, least)
-    return pivot(out, methods)
+    return pivot(out.repartition(parts, "uidx"), methods)
 
 
 def cap(cand: DataFrame, methods: list[str], n: int = 200) -> DataFrame:

@@ -45,7 +45,7 @@ def small(tx: DataFrame, users: DataFrame, labels: DataFrame | None, age: str =
         R.time_history_decay(tx, users, 7, 50, "2"),
         R.sale_trend(tx, users, 7, 50, name="1"),
     ]
-    return C.collect([hold(C.union(outputs), "outputs")], SMALL, labels, R.out_of_stock(tx), least, norm=True)
+    return C.collect(outputs, SMALL, labels, R.out_of_stock(tx), least, norm=True)
 
 
 def large(tx: DataFrame, users: DataFrame, attributes: DataFrame, extra: list[DataFrame] = (), age: str = "age_band_code", power: str = "purchase_ability", gender: str = "user_gender", cap: int = CAP) -> DataFrame:
@@ -71,12 +71,13 @@ def large(tx: DataFrame, users: DataFrame, attributes: DataFrame, extra: list[Da
         for k, days in enumerate((80, 60, 14)):
             sim = R.item_cf_sim(inside(R.trailing(tx, days)), group=group)
             outputs.append(R.item_cf_predict(sim, inside(target), str(3 * j + k + 1), group))
-    return C.cap(hold(C.collect([hold(C.union(outputs), "outputs")], LARGE), "pivoted"), LARGE, cap)
+    return C.cap(hold(C.collect(outputs, LARGE), "pivoted"), LARGE, cap)
 
 
 def query(tx: DataFrame, items: DataFrame, labels: DataFrame, k: int = 200) -> DataFrame:
     """The most sold items of the triple that the user asks for: that of the first label, one query a user and round."""
     t = ["cat_code", "style_code", "occ_code"]
+    tx, items = hold(tx.select("iidx", "day"), "log"), hold(items.select("iidx", *t), "items")
     asked = R.top(labels.join(items.select("iidx", *t), "iidx"), 1, ["uidx"], F.col("iidx")).select("uidx", *t)
     outputs = [R.query_match(asked, R.triple_tables(tx, items, k, 28), "recent"), R.query_match(asked, R.triple_tables(tx, items, k, None), "alltime")]
     return C.collect(outputs, QUERY)
